@@ -121,7 +121,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
             out.append(np.unique(g[at[i] : at[i + 1]]))
         elif words:
             w = h[bounds[i] : bounds[i + 1]]
-            out.append(mix(np.array([(w * _ODD[:words]).sum(dtype=np.uint64) + _ODD[15] * _U(words)], np.uint64)))
+            out.append(mix((w * _ODD[:words]).sum(dtype=np.uint64, keepdims=True) + _ODD[15:] * _U(words)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -129,6 +129,5 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
 
 def set_key(s: np.ndarray) -> int:
     """A signed 64-bit key of a set of hashes, the same for equal sets."""
-    with np.errstate(over="ignore"):
-        k = mix(np.array([mix(s ^ _ODD[14]).sum(dtype=np.uint64) + _ODD[13] * _U(len(s))], np.uint64))
+    k = mix(mix(s ^ _ODD[14]).sum(dtype=np.uint64, keepdims=True) + _ODD[13:14] * _U(len(s)))
     return int(k.view(np.int64)[0])
