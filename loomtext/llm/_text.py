@@ -22,6 +22,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: The separators of words: space and the ASCII controls tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII but letters: what stands between runs of letters.
+NOT_LETTER = np.zeros(256, bool)
+NOT_LETTER[:128] = True
+NOT_LETTER[[*range(65, 91), *range(97, 123)]] = False
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -68,15 +72,15 @@ def chunks(off: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the rows that `off` bounds, and the rows' bounds within them."""
+def word_hashes(raw: np.ndarray, off: np.ndarray, fold: bool = True, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of bytes outside `gap`) of the rows that `off` bounds, and the rows' bounds within them."""
     lo, hi = int(off[0]), int(off[-1])
     rows = off - lo
     b = raw[lo:hi]
     n = len(b)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    word = ~SPACE[b]
+    word = ~gap[b]
     start = word.copy()
     start[1:] &= ~word[:-1]
     begin = rows[:-1][rows[:-1] < rows[1:]]
