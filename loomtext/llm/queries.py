@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard
+from . import bpe, jaccard, quality, toxicity
+from ._util import crc_mod
 
 #: Every pair of documents that shares a shingle, counted; then the transitive closure of the links.
 JACCARD_SQL = r"""
@@ -31,16 +33,32 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _docs(spark, sf_dir), crc_mod(F.col("doc_id"), 4) == 2
+    out = quality.score(docs, quality.fit(docs, _labels(spark, sf_dir), learn=~held))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_docs(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _docs(spark, sf_dir), crc_mod(F.col("doc_id"), 5) == 0
+    out = toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir), learn=~held))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op9_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_toxicity, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
