@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, quality, toxicity
+from . import bpe, jaccard, langid, quality, secrets, toxicity
 from ._util import crc_mod
 
 #: Every pair of documents that shares a shingle, counted; then the transitive closure of the links.
@@ -53,12 +53,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(_docs(spark, sf_dir))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _docs(spark, sf_dir), crc_mod(F.col("doc_id"), 3) == 1
+    out = langid.predict(docs, langid.fit(docs, learn=~held))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_toxicity, op9_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_toxicity, op5_secrets, op6_langid, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
