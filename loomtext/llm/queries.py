@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, langid, quality, secrets, toxicity
+from . import bpe, decontam, jaccard, langid, quality, rules, secrets, toxicity
 from ._util import crc_mod
 
 #: Every pair of documents that shares a shingle, counted; then the transitive closure of the links.
@@ -78,6 +78,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_docs(spark, sf_dir))
 
@@ -97,7 +101,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_toxicity, op5_secrets, op6_langid, op7_decontaminate, op9_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_toxicity, op4_quality_rules, op5_secrets, op6_langid, op7_decontaminate, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
