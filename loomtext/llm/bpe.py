@@ -84,6 +84,25 @@ def decode(ids: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_
     return _narrow(ids, id_col, ids_col).mapInArrow(run, f"k {kind}, bytes binary").withColumnRenamed("k", id_col)
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), long_text: int = LONG_TEXT) -> DataFrame:
+    """(id, carried columns, n_tokens, ids, lossless): the ids of every whole text, decoded again and compared."""
+
+    def run(batches):
+        enc = encoding(path, pattern)
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                texts = [t or "" for t in part.column(0).to_pylist()]
+                ids = [encode_text(enc, t, long_text) for t in texts]
+                same = [enc.decode_bytes(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=[*part.schema.names[1:], "n_tokens", "ids", "lossless"])
+
+    kept = [id_col, *carry]
+    shape = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
+    narrow = docs.select(docs[text_col].alias("t"), *(docs[c].alias(f"c{i}") for i, c in enumerate(kept)))
+    return narrow.mapInArrow(run, f"{shape}, n_tokens long, ids array<int>, lossless boolean").toDF(*kept, "n_tokens", "ids", "lossless")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", long_text: int = LONG_TEXT) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encode, decode, and the digests of both, in one pass."""
 

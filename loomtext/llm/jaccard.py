@@ -9,8 +9,8 @@ A text's set is its distinct k-word shingles (64-bit hashes); two sets link when
 2. Texts with equal sets fall into one class; classes with equal prefix and size fall into one group.
 3. Groups post their prefix shingles. Shingles that only one group posts are dropped after a grouped
    minimum and maximum, so hot shingles are pre-aggregated and never gathered.
-4. Star rounds compare every posting's group with one pivot group of the shingle only; pairs that hold are
-   contracted into components. A family of thousands of copies is settled in linear work here.
+4. Star rounds compare every group with one other group only, the pivot (for each shingle the group whose
+   shingles are shared most) with which it has most prefix shingles in common; pairs that hold are contracted into components. A family of thousands of copies is settled in linear work here.
 5. What remains open (shingles that groups of different components post) is joined exactly under the
    length and position filters; surviving group pairs expand to member classes and are verified.
 
@@ -152,6 +152,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the class pairs (u, v) those whose sets reach the similarity."""
+    needed = materialize(pairs.select(F.explode(F.array("u", "v")).alias("ck")).distinct(), "needed")
+    sets = join_sized(sets, needed, "ck")
     a = sets.select(F.col("ck").alias("u"), F.col("toks").alias("a"))
     b = sets.select(F.col("ck").alias("v"), F.col("toks").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -209,17 +211,20 @@ class JaccardJoin:
             span = state.groupBy("gh").agg(F.min("ck").alias("rep"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("ck").alias("far"))
             span = materialize(span, "span")
             posted = live.join(span, "gh")
-            bounds = posted.groupBy("tok").agg(F.min("lo").alias("low"), F.max("hi").alias("high"), F.min(F.struct("n", "pos", "gh", "rep")).alias("first"), F.max(F.struct("n", "pos", "gh", "rep")).alias("last")).where("low <> high")
-            x = posted.join(bounds, "tok").alias("x")
+            bounds = posted.groupBy("tok").agg(F.min("lo").alias("low"), F.max("hi").alias("high"), F.count("*").alias("df")).where("low <> high")
+            opened = materialize(posted.join(bounds.select("tok", "df"), "tok"), "open")
             if step < STAR_ROUNDS:
-                pivot = "first" if step % 2 == 0 else "last"
-                t = x.withColumn("p", F.col(pivot)).where("gh <> p.gh AND NOT (lo = hi AND rep = p.rep)")
-                t = t.where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n) AND {100 + percent} * least(n - pos, p.n - p.pos) >= {percent} * (n + p.n)")
+                # The group whose shingles most others share: of a family, its original or the copy least changed.
+                noise = F.lit(1.0) if step == 0 else 1 + F.pmod(F.xxhash64("gh", F.lit(step)), F.lit(1000)) / 1000
+                weight = opened.groupBy("gh").agg((F.sum("df") * F.first(noise)).alias("weight"))
+                heavy = opened.join(weight, "gh").groupBy("tok").agg(F.max(F.struct("weight", "gh", "rep", "n", "lo", "hi")).alias("p"))
+                t = opened.join(heavy, "tok").where("gh <> p.gh AND NOT (lo = hi AND p.lo = p.hi AND lo = p.lo)").where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+                t = t.groupBy("gh", "rep", "p").agg(F.count("*").alias("c")).groupBy("gh", "rep").agg(F.max_by("p.rep", F.struct("c", "p.gh")).alias("b"))
                 own = "rep" if step % 2 == 0 else "far"
                 inner = state.join(span.where("lo <> hi").select("gh", F.col(own).alias("rep")), "gh").select(F.col("ck").alias("a"), F.col("rep").alias("b"))
-                todo = t.select(F.col("rep").alias("a"), F.col("p.rep").alias("b")).union(inner).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+                todo = t.select(F.col("rep").alias("a"), "b").union(inner).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
             else:
-                y = x.select("tok", "gh", "n", "pos", "lo", "hi").alias("y")
+                x, y = opened.alias("x"), opened.alias("y")
                 near = x.join(y, (F.col("x.tok") == F.col("y.tok")) & F.expr("x.gh < y.gh AND NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)") & self._possible("x", "y"))
                 near = near.select(F.col("x.gh").alias("g"), F.col("y.gh").alias("h"))
                 own = span.where("lo <> hi").select(F.col("gh").alias("g"), F.col("gh").alias("h"))
@@ -234,6 +239,7 @@ class JaccardJoin:
             comps = connected(links)
             state = materialize(members.join(comps.select(F.col("node").alias("ck"), "comp"), "ck", "left").withColumn("comp", F.coalesce("comp", "ck")), "state")
             discard(span)
+            discard(opened)
         self.members = members
         return comps.select(F.col("node").alias("ck"), "comp")
 
@@ -250,3 +256,19 @@ class JaccardJoin:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     return JaccardJoin(docs, id_col, text_col, words, percent).labels()
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each group stays, with all its columns: the one whose id is the component's smallest.
+
+    Of repeated rows (same id and text) one stays; rows that share an id but not the text stay or go together,
+    and stay if one of them stands for its group; rows with a null id and empty texts stay.
+    """
+    marks = materialize(components(docs, id_col, text_col, words, percent), "components")
+    stays = (F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()
+    ids = marks.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(stays.cast("int")).alias("stays"), F.count("*").alias("rows"))
+    gone = materialize(ids.where("stays = 0").select(F.col("doc_id").alias(id_col)), "gone")
+    out = join_sized(docs, gone, id_col, "left_anti")
+    if not ids.where("stays = 1 AND rows > 1").isEmpty():
+        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(out.where(F.col(id_col).isNull()))
+    return out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, langid, quality, rules, secrets, toxicity
+from . import bpe, decontam, jaccard, langid, quality, rules, secrets, sharding, sstable, toxicity
 from ._util import crc_mod
 
 #: Every pair of documents that shares a shingle, counted; then the transitive closure of the links.
@@ -100,8 +100,21 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in four batches, are compacted, and are read back with their shard and a checksum."""
+    s = sharding.ShardSet(spark)
+    s.append_arrivals(_docs(spark, sf_dir).withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(4))), "arrival")
+    s.compact()
+    s.vacuum()
+    return s.read().select("doc_id", "lang", "source", "n_chars", "shard", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+
+
+def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read(spark, sstable.write(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_toxicity, op4_quality_rules, op5_secrets, op6_langid, op7_decontaminate, op9_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_toxicity, op4_quality_rules, op5_secrets, op6_langid, op7_decontaminate, op8_sharding, op9_bpe, op10_token_tables)}
 
 
 def oracle_sql() -> dict[str, str]:
