@@ -1 +1 @@
-"""See the package README section for functions."""
+"""Column functions: text, parsing, keyed draws, scores."""

@@ -1 +1 @@
-"""See the package README section for operators."""
+"""Operators over records: reshaping, segmenting, spans, selection, diversity, statistics."""

@@ -1 +1 @@
-"""See the package README section for plans."""
+"""Composite plans: generation and sanitizing of records over a model seam."""

@@ -1 +1 @@
-"""See the package README section for sources."""
+"""Readers and writers."""

@@ -1 +1 @@
-"""See the package README section for streaming."""
+"""Incremental runs: resuming, bounded histories and running scores."""
