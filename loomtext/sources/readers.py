@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,11 +86,18 @@ def catalog(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataF
     """
     if not exists(spark, folder):
         return spark.createDataFrame([], "name STRING, path STRING, bytes LONG, n_lines LONG")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("bytes"))
+    # The file system lists the files (scans leave empty ones out); the lines are counted by Spark.
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing, found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while listing.hasNext():
+        s = listing.next()
+        if fnmatch.fnmatchcase(str(s.getPath().getName()), pattern):
+            found.append((str(s.getPath().toString()), str(s.getPath().toUri().getPath()), int(s.getLen())))
+    files = spark.createDataFrame(found, "path string, k string, bytes long")
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
     counted = text.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_lines"))
-    bare = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^[a-z]+:/*", "/")
-    out = files.withColumn("k", bare(F.col("path"))).join(counted.withColumn("k", bare(F.col("file"))).drop("file"), "k", "left")
+    bare = F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:(//[^/]*)?/+", "/")
+    out = files.join(counted.select(bare.alias("k"), "n_lines"), "k", "left")
     return out.select(F.element_at(F.split("k", "/"), -1).alias("name"), "path", "bytes", F.coalesce("n_lines", F.lit(0)).alias("n_lines")).orderBy("name", "path")
 
 
