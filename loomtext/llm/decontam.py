@@ -41,6 +41,11 @@ def _hashes(ws: str, k: int) -> Column:
     return F.transform(_places(F.size(ws) - (k - 1)), lambda i: F.xxhash64(*(F.get(F.col(ws), i + j) for j in range(k))))
 
 
+def _sequences(ws: str, k: int) -> Column:
+    """All k-word sequences as texts. By get(): slice() walks and copies through Scala collections."""
+    return F.transform(_places(F.size(ws) - (k - 1)), lambda i: F.concat_ws(" ", *(F.get(F.col(ws), i + j) for j in range(k))))
+
+
 def _low(h: str, span: int) -> Column:
     return F.transform(_places(F.size(h) - span), lambda i: F.least(F.get(F.col(h), i), F.get(F.col(h), i + span)))
 
@@ -61,6 +66,14 @@ def _sized(df: DataFrame, fits: bool) -> DataFrame:
     return F.broadcast(df) if fits else df
 
 
+def _around(df: DataFrame, key: str) -> DataFrame:
+    """(key, size, x) per place: its hash and the words around it only, so that long texts with many places stay small."""
+    reach = WINDOW - K
+    h, w = F.col("h"), F.col("w")
+    near = lambda i: F.struct(i.alias("at"), F.get(h, i).alias("fp"), F.greatest(F.lit(0), i - reach).alias("base"), F.array(*(F.get(w, F.greatest(F.lit(0), i - reach) + j) for j in range(K + 2 * reach))).alias("near"))
+    return df.select(key, F.size("w").alias("size"), F.transform("places", near).alias("xs")).select(key, "size", F.explode_outer("xs").alias("x")).where("x IS NOT NULL")
+
+
 def hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """(row, w, item_id, a, b): words [a, b) of a document row are a window of an item. docs: (row, w), bench: (item_id, w)."""
     long_items = fingerprints(bench.where(F.size("w") >= WINDOW), "w", "fps")
@@ -73,17 +86,19 @@ def hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
     # Texts with a hit, their places of hit fingerprints, and each place's alignment with every place in an item.
     rows = materialize(rows, "hit-rows")
     some = docs.join(_sized(rows, small_enough(rows, BROADCAST_ROWS // 10)), "row")
-    at = some.select("row", "w", F.posexplode_outer(_hashes("w", K)).alias("p", "fp"), "found").where(F.array_contains("found", F.col("fp"))).select("row", "w", "p", "fp")
-    of = long_items.select("item_id", F.col("w").alias("v"), F.posexplode_outer("h").alias("q", "fp"))
+    some = some.withColumn("h", _hashes("w", K)).withColumn("places", F.filter(_places(F.size("h")), lambda i: F.array_contains("found", F.get("h", i))))
+    at = _around(some, "row").selectExpr("row", "size", "x.at AS p", "x.fp AS fp", "x.base AS base", "x.near AS near")
+    of = _around(long_items.withColumn("places", _places(F.size("h"))), "item_id")
+    of = of.selectExpr("item_id", "size AS length", "x.at AS q", "x.fp AS fp", "x.base AS origin", "x.near AS like")
     of = of.join(_sized(known, fits), "fp")
     first = F.greatest(F.lit(0), F.col("p") - (WINDOW - K), F.col("p") - F.col("q"))
-    last = F.least(F.col("p"), F.size("w") - WINDOW, F.col("p") - F.col("q") + F.size("v") - WINDOW)
+    last = F.least(F.col("p"), F.col("size") - WINDOW, F.col("p") - F.col("q") + F.col("length") - WINDOW)
     aligned = at.join(_sized(of, fits), "fp").withColumn("first", first).withColumn("last", last).where("first <= last")
-    grown = aligned.withColumn("starts", F.expr(f"filter(sequence(first, last), s -> slice(w, s + 1, {WINDOW}) = slice(v, s - p + q + 1, {WINDOW}))"))
+    grown = aligned.withColumn("starts", F.expr(f"filter(sequence(first, last), s -> forall(sequence(0, {WINDOW - 1}), j -> get(near, s - base + j) = get(like, s - p + q - origin + j)))"))
     out = grown.select("row", "item_id", F.explode_outer("starts").alias("a")).where("a IS NOT NULL").withColumn("b", F.col("a") + WINDOW)
     for n in sorted(lengths):
         own = bench.where(F.size("w") == n).select("item_id", F.concat_ws(" ", "w").alias("whole"))
-        short = docs.where(F.size("w") >= n).select("row", F.posexplode_outer(F.transform(_places(F.size("w") - (n - 1)), lambda i, n=n: F.concat_ws(" ", F.slice(F.col("w"), i + 1, n)))).alias("a", "whole"))
+        short = docs.where(F.size("w") >= n).select("row", F.posexplode_outer(_sequences("w", n)).alias("a", "whole"))
         out = out.union(short.join(_sized(own, small_enough(own)), "whole").select("row", "item_id", "a", (F.col("a") + n).alias("b")))
     return out.distinct()
 
