@@ -21,6 +21,8 @@ gets a null component; further columns are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ from ._util import connected, discard, join_sized, materialize
 
 WORDS, PERCENT = 5, 75
 #: The count sketch has 2**SKETCH_BITS counters, in blocks of 2**BLOCK_BITS.
-SKETCH_BITS, BLOCK_BITS = 20, 14
+SKETCH_BITS, BLOCK_BITS = 22, 15
 #: Pivot rounds before the exact join of what is left.
 STAR_ROUNDS = 2
 
@@ -50,38 +52,40 @@ def _sets_of(batches, k: int):
 
 def _keys_and_sketch(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
         for ids, sets in _sets_of(batches, k):
             n = [len(s) for s in sets]
             if sum(n):
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                at, more = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                counts[at] = np.minimum(counts[at] + more, 255)
             keys = [T.set_key(s) for s in sets]
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "ck", "block", "counts"])
         parts = counts.reshape(-1, 1 << BLOCK_BITS)
         for i in np.flatnonzero(parts.any(axis=1)):
             none = pa.nulls(1).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], names=["doc_id", "n", "ck", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i], pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary())], names=["doc_id", "n", "ck", "block", "counts"])
 
     return docs.mapInArrow(run, "doc_id long, n long, ck long, block int, counts binary")
 
 
 def _summed_sketch(blocks: DataFrame) -> np.ndarray:
-    """Sum the tasks' sketches: within each partition first, then by block; what is held never exceeds the sketch."""
+    """Sum the tasks' sketches (a task counts to 255): within each partition first, then by block; what is held never exceeds the sketch."""
 
-    def add(batches):
+    def add(batches, kind):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, np.uint32 if len(raw) == 4 << BLOCK_BITS else np.uint64)
-                total[i] = total[i] + part if i in total else part.astype(np.uint64)
+                part = np.frombuffer(zlib.decompress(raw), kind)
+                total[i] = total[i] + part if i in total else part.astype(np.uint32)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["block", "counts"])
 
     shape = "block int, counts binary"
-    out = np.zeros((1 << SKETCH_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint64)
-    for r in blocks.mapInArrow(add, shape).repartition("block").mapInArrow(add, shape).collect():
-        out[r["block"]] += np.frombuffer(bytes(r["counts"]), np.uint64)
+    once = blocks.mapInArrow(lambda it: add(it, np.uint8), shape)
+    out = np.zeros((1 << SKETCH_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint32)
+    for r in once.repartition("block").mapInArrow(lambda it: add(it, np.uint32), shape).collect():
+        out[r["block"]] += np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
     return out.reshape(-1)
 
 
@@ -210,16 +214,16 @@ class JaccardJoin:
         for step in range(STAR_ROUNDS + 1):
             span = state.groupBy("gh").agg(F.min("ck").alias("rep"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("ck").alias("far"))
             span = materialize(span, "span")
-            posted = live.join(span, "gh")
+            posted = join_sized(live, span, "gh")
             bounds = posted.groupBy("tok").agg(F.min("lo").alias("low"), F.max("hi").alias("high"), F.count("*").alias("df")).where("low <> high")
-            opened = materialize(posted.join(bounds.select("tok", "df"), "tok"), "open")
+            opened = materialize(posted.join(bounds.select("tok", "df"), "tok").drop("far"), "open")
             if step < STAR_ROUNDS:
                 # The group whose shingles most others share: of a family, its original or the copy least changed.
                 noise = F.lit(1.0) if step == 0 else 1 + F.pmod(F.xxhash64("gh", F.lit(step)), F.lit(1000)) / 1000
-                weight = opened.groupBy("gh").agg((F.sum("df") * F.first(noise)).alias("weight"))
-                heavy = opened.join(weight, "gh").groupBy("tok").agg(F.max(F.struct("weight", "gh", "rep", "n", "lo", "hi")).alias("p"))
+                weight = materialize(opened.groupBy("gh").agg((F.sum("df") * F.first(noise)).alias("weight")), "weight")
+                heavy = join_sized(opened, weight, "gh").groupBy("tok").agg(F.max(F.struct("weight", "gh", "rep", "n", "lo", "hi")).alias("p"))
                 t = opened.join(heavy, "tok").where("gh <> p.gh AND NOT (lo = hi AND p.lo = p.hi AND lo = p.lo)").where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-                t = t.groupBy("gh", "rep", "p").agg(F.count("*").alias("c")).groupBy("gh", "rep").agg(F.max_by("p.rep", F.struct("c", "p.gh")).alias("b"))
+                t = t.groupBy("rep", F.col("p.rep").alias("b")).agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
                 own = "rep" if step % 2 == 0 else "far"
                 inner = state.join(span.where("lo <> hi").select("gh", F.col(own).alias("rep")), "gh").select(F.col("ck").alias("a"), F.col("rep").alias("b"))
                 todo = t.select(F.col("rep").alias("a"), "b").union(inner).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
