@@ -132,8 +132,9 @@ class ShardSet:
         shards = self.shards(version)
         if not shards:
             raise FileNotFoundError(f"{self.folder} has no shards in version {version}")
-        number = self.spark.createDataFrame([(s.path.rsplit("/", 1)[1], i) for i, s in enumerate(shards)], "__file string, shard int")
-        rows = self._read(shards).withColumn("__file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+        # One task of append_arrivals() gives its files in all arrival folders one base name: only the path below the dataset tells shards apart.
+        number = self.spark.createDataFrame([(str(self.spark._jvm.org.apache.hadoop.fs.Path(s.path).toUri()), i) for i, s in enumerate(shards)], "__file string, shard int")
+        rows = self._read(shards).withColumn("__file", F.regexp_extract(F.input_file_name(), r".*/(data/[0-9a-f]{16}/.+)$", 1))
         return rows.join(F.broadcast(number) if len(shards) <= 100_000 else number, "__file").drop("__file")
 
     def vacuum(self, keep: int = 1) -> int:

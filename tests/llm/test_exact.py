@@ -225,3 +225,20 @@ def test_sharding(spark, odd, nothing):
     assert s.vacuum() > 0 and keys(s.read()) == want
     with pytest.raises(RuntimeError):
         s._commit(v - 1, [])
+
+
+@pytest.mark.parametrize("target, compacted", [(1 << 26, False), (1, True)])
+def test_arrivals_keep_their_shards(spark, odd, target, compacted):
+    """Files of one task share their base name over the arrival folders; each row still has one shard, its own."""
+    s = sharding.ShardSet(spark, target_bytes=target)
+    arrival = F.pmod(F.xxhash64("doc_id", "text"), F.lit(3))
+    s.append_arrivals(odd.repartition(2).withColumn("arrival", F.concat(F.lit("a b/%:"), arrival.cast("string"))), "arrival")
+    if compacted:  # every shard is above half the target and survives
+        s.compact()
+    names = [x.path.rsplit("/", 1)[1] for x in s.shards()]
+    assert len(set(names)) < len(names)
+    rows = s.read().collect()
+    assert sorted(repr((r.doc_id, r.text)) for r in rows) == sorted(repr((i, t)) for i, t, _ in ODD)
+    for i, x in enumerate(s.shards()):
+        own = spark.read.parquet(f"{s.folder}/{x.path}").collect()
+        assert sorted(repr((r.doc_id, r.text)) for r in rows if r.shard == i) == sorted(repr((r.doc_id, r.text)) for r in own)
