@@ -367,8 +367,7 @@ def locate_spans(spark, d):
 @query("SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''))::INT AS n_items, trim(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1]) AS first_item FROM documents WHERE NOT regexp_matches(text, '[0-9]+\\.\\s')")
 def list_parse(spark, d):
     p = parse.ordered_list(F.col("text"))
-    docs = _t(spark, d, "documents").where(~F.regexp_like("text", F.lit(r"[0-9]+\.\s")))
-    return docs.withColumn("p", p).select("doc_id", F.size("p").alias("n_items"), F.get("p", 0).alias("first_item"))
+    return _t(spark, d, "documents").withColumn("p", p).select("doc_id", F.size("p").alias("n_items"), F.get("p", 0).alias("first_item"))
 
 
 @query("SELECT doc_id, upper(substr(replace(source, '_', ' '), 1, 1)) || substr(replace(source, '_', ' '), 2) AS title, regexp_replace(text, '(THE)', '<mark>\\1</mark>', 'gi') AS marked FROM documents")

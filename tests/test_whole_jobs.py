@@ -1,5 +1,7 @@
 """Registered queries on small tables of their own, against brute force: no row and no part of a text is left out."""
 
+import re
+
 
 from loomtext import queries as records
 from loomtext.functions.scores import text_difference_of
@@ -22,3 +24,16 @@ def test_text_difference_reads_whole_texts_and_all_items(spark, tmp_path):
     want = [(i, items[(i or 0) % 57][0], text_difference_of(t, items[(i or 0) % 57][1])) for i, t in texts]
     assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
     assert {r.item_id for r in rows} == {i for i, _ in items}
+
+
+def _ordered(text):
+    found = re.findall(r"(\d+\.\s+.+?)(?=\d+\.\s|$)", text, re.DOTALL)
+    return [re.sub(r"^\d+\.\s+", "", x).strip() for x in found] or [x.strip() for x in text.split("\n") if x.strip()]
+
+
+def test_list_parse_has_every_document(spark, tmp_path):
+    texts = ["1. one\n2. two\nand on\n10. ten", "in 2020. Then more", "plain\n\n lines ", "a 1.5 b", "x 1.\ty\n2.", "7. ", "٣. eins ٤. zwei"]
+    d = tables(spark, tmp_path, list(enumerate(texts)))
+    rows = records.queries()["list_parse"](spark, d).collect()
+    want = [(i, len(_ordered(t)), _ordered(t)[0]) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, rows)) == want
