@@ -30,6 +30,16 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 
+_BREAK = r"(?:\s|\\[nr])"
+#: A private key from its BEGIN line to its END line; without one before the next BEGIN, over the base64 that follows:
+#: long runs, then whole short lines or a padded end. Line ends may be escaped, as in JSON.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:"
+    r"(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_BREAK}*(?:Proc-Type|DEK-Info): [^\n\\]*)*"
+    rf"(?:(?:{_BREAK}*[A-Za-z0-9+/]{{16,}})+={{0,2}}(?:(?:\r?\n|\\n)[A-Za-z0-9+/]+={{0,2}}(?=\s*\n|\\n|\s*\Z)|{_BREAK}*[A-Za-z0-9+/]+={{1,2}})?)?)"
+)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -58,7 +68,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{20,}=*", re.ASCII | re.IGNORECASE),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
 )

@@ -242,3 +242,24 @@ def test_arrivals_keep_their_shards(spark, odd, target, compacted):
     for i, x in enumerate(s.shards()):
         own = spark.read.parquet(f"{s.folder}/{x.path}").collect()
         assert sorted(repr((r.doc_id, r.text)) for r in rows if r.shard == i) == sorted(repr((r.doc_id, r.text)) for r in own)
+
+
+_BODY = "\n".join(["MIIEpAIBAAKCAQEA7bq9" + "Zx+/" * 11] * 3 + ["q8Lw"])
+KEYS = {
+    "whole": f"a -----BEGIN RSA PRIVATE KEY-----\n{_BODY}\n-----END RSA PRIVATE KEY-----\nb",
+    "headed": f"a -----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{_BODY}\n-----END RSA PRIVATE KEY-----\nb",
+    "cut": f"a -----BEGIN PRIVATE KEY-----\n{_BODY}\nb c",
+    "cut, headed": f"a -----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{_BODY}==\nb c",
+    "escaped": "a -----BEGIN PRIVATE KEY-----\\n" + _BODY.replace("\n", "\\n") + "\\n-----END PRIVATE KEY-----\\n b",
+    "escaped, cut": "a -----BEGIN PRIVATE KEY-----\\n" + _BODY.replace("\n", "\\n") + "\\n b",
+    "two": f"a -----BEGIN EC PRIVATE KEY-----\n{_BODY}\nb -----BEGIN PRIVATE KEY-----\n{_BODY}\n-----END PRIVATE KEY----- b",
+    "mentioned": "a -----BEGIN PRIVATE KEY----- starts a key b",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(KEYS))
+def test_private_keys_go_whole(spark, kind):
+    out = secrets.redact(table(spark, [(1, KEYS[kind], "en")])).first().text
+    assert out.startswith("a [SECRET]") and out.rstrip().endswith(("b", "b c"))
+    assert not re.search("MIIE|Zx|q8Lw|PRIVATE|DEK", out)
+    assert kind != "mentioned" or out == "a [SECRET] starts a key b"
