@@ -127,3 +127,25 @@ def test_fold_is_crc32_of_the_text_of_the_id(spark):
 
     d = spark.range(50).select("id", crc_mod(F.col("id"), 4).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 4 for r in d)
+
+
+def test_toxicity_keeps_words_apart(spark, corpus, monkeypatch):
+    """A word that shares the first 21 hash bits with a toxic one, and slices of the words that are sent."""
+    import numpy as np
+
+    from loomtext.llm import _text
+
+    def hashes(words):
+        raw = np.frombuffer("".join(words).encode(), np.uint8)
+        return _text.word_hashes(raw, np.cumsum([0, *map(len, words)]), gap=_text.NOT_LETTER)[0] >> np.uint64(43)
+
+    twin = "xqbrpbj"
+    assert hashes([twin])[0] in hashes(["zorgle", "blarfed"])
+    docs, known = corpus
+    m = toxicity.fit(docs, known)
+    d = table(spark, [(1, " ".join([twin] * 9), "en"), (2, "zorgle " * 9, "en"), (3, "none", "en")])
+    got = {r.doc_id: r.score for r in toxicity.score(d, m).collect()}
+    assert got[1] == got[3] < 0.5 < got[2]
+    whole = sorted(map(tuple, toxicity.score(docs, m).collect()))
+    monkeypatch.setattr(toxicity, "SENT", m.n // 2)
+    assert m.slices() > 1 and sorted(map(tuple, toxicity.score(docs, m).collect())) == whole
