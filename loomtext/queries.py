@@ -167,6 +167,13 @@ def _attributes(spark, d) -> DataFrame:
     return s.withColumn("ordinal", F.row_number().over(w)).select(F.col("doc_id").alias("record_id"), "attr_type", F.col("span").alias("attr_value"), "ordinal")
 
 
+def _numbered(attrs: DataFrame) -> DataFrame:
+    """Every distinct value once, as a type of its own: email_1, email_2 and so on, by first appearance."""
+    first = attrs.groupBy("record_id", "group_name", "attr_type", "attr_value").agg(F.min("ordinal").alias("ordinal"))
+    n = F.row_number().over(Window.partitionBy("record_id", "attr_type").orderBy("ordinal"))
+    return first.withColumn("attr_type", F.concat_ws("_", "attr_type", n))
+
+
 _RANKED = "WITH RECURSIVE " + _SPANS.lstrip() + """,
 ranked AS (SELECT doc_id AS record_id, attr_type, span AS attr_value, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", attr_type)::INT AS rank, count(*) OVER (PARTITION BY doc_id) AS n FROM spans)"""
 
@@ -425,7 +432,7 @@ def sanitize_records(spark, d):
 
     docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), "text")
     a = _attributes(spark, d).withColumn("record_id", F.col("record_id").cast("string")).withColumn("group_name", F.lit(None).cast("string"))
-    a = a.dropDuplicates(["record_id", "attr_type"])
+    a = _numbered(a)
     new, _, _ = sanitize.run(docs, a, PatternModel)
     return new.select("record_id", text.text_hash(F.col("text")).alias("sha"))
 

@@ -37,3 +37,16 @@ def test_list_parse_has_every_document(spark, tmp_path):
     rows = records.queries()["list_parse"](spark, d).collect()
     want = [(i, len(_ordered(t)), _ordered(t)[0]) for i, t in enumerate(texts)]
     assert sorted(map(tuple, rows)) == want
+
+
+def test_sanitize_records_can_reach_every_value(spark, tmp_path, monkeypatch):
+    from loomtext.plans import sanitize
+
+    texts = [(i, f"Write to a{i}@x.com now.\nOr to b{i}@y.org then.\nAgain a{i}@x.com or +1 (555) 123-45{i:02d} here.") for i in range(40)]
+    d, seen, run = tables(spark, tmp_path, texts), [], sanitize.run
+    monkeypatch.setattr(sanitize, "run", lambda docs, attrs, model, *a: (seen.append(attrs), run(docs, attrs, model, *a))[1])
+    assert records.queries()["sanitize_records"](spark, d).count() > 0
+    got = {(r.record_id, r.attr_type, r.attr_value) for r in seen[0].collect()}
+    assert got == {x for i in range(40) for x in ((str(i), "email_1", f"a{i}@x.com"), (str(i), "email_2", f"b{i}@y.org"), (str(i), "phone_1", f"+1 (555) 123-45{i:02d}"))}
+    chosen = sanitize.choose(seen[0]).where("sanitization <> 'keep'")
+    assert chosen.where("attr_type = 'email_1'").count() > 0 and chosen.where("attr_type = 'email_2'").count() > 0
