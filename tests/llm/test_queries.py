@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_query(spark, name):
     got = Q.queries()[name](spark, SF)
     rows = got.collect()
-    n = duckdb.sql(f"SELECT count(*) FROM '{SF}/documents.parquet'").fetchone()[0]
+    n = duckdb.sql(f"SELECT count(*) FROM '{SF}/documents.parquet'").fetchall()[0][0]
     assert len(rows) == n and len({r.doc_id for r in rows}) == n
     if name in Q.oracle_sql():
         db = duckdb.connect()
