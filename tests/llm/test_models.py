@@ -1,6 +1,7 @@
 """Quality, toxicity, language and rules: odd rows, and accuracy on texts held out."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -129,6 +130,77 @@ def test_fold_is_crc32_of_the_text_of_the_id(spark):
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 4 for r in d)
 
 
+def _kneser_ney(texts, share):
+    """The models of toxicity.py by dictionaries: a function from a text to its difference."""
+    cut = lambda t: re.findall(r"[^\x00-@\[-`{-\x7f]+", "".join(c.lower() if c < "\x80" else c for c in t or ""))
+    pairs = lambda t: list(zip(["", *cut(t)], cut(t)))
+    triples = lambda t: list(zip(["", "", *cut(t)], ["", *cut(t)], cut(t)))
+    k = [collections.Counter(w for _, w in {p for t, y in texts if y == c for p in pairs(t)}) for c in (0, 1)]
+    n = [collections.Counter(p for t, y in texts if y == c for p in set(pairs(t))) for c in (0, 1)]
+    behind = collections.Counter((h, w) for _, h, w in {x for t, y in texts if y == 1 for x in triples(t)})
+    own = {p for p, m in behind.items() if m >= toxicity.LEAST}
+    kinds = len(k[0]) + len(k[1])
+    d, total = toxicity.DISCOUNT, [sum(k[c].values()) for c in (0, 1)]
+    rest = [1 - sum(max(k[c][w] - d, 0) for w in k[1]) / total[c] for c in (0, 1)]
+    p = lambda c, w: (max(k[c][w] - d, 0) / total[c] if w in k[1] else 0) + rest[c] * max((w in k[0]) + (w in k[1]), 1) / (kinds + 1)
+    follow = [collections.Counter() for _ in range(2)]
+    spent = [collections.Counter() for _ in range(2)]
+    for c in (0, 1):
+        for (h, w), m in n[c].items():
+            follow[c][h] += m
+            if (h, w) in own:
+                spent[c][h] += max(m - d, 0)
+
+    def conditional(c, h, w):
+        t = follow[c][h] if h in {x for x, _ in own} else 0
+        return (max(n[c][h, w] - d, 0) / t if t and (h, w) in own else 0) + (1 - spent[c][h] / t if t else 1) * p(c, w)
+
+    def excess(tau):
+        z = [(p(1, w), p(0, w)) for w in k[1]]
+        return sum(a - math.exp(tau) * b for a, b in z if math.floor(math.log(a / b) * toxicity._STEPS) >= round(tau * toxicity._STEPS)) - math.exp(tau) * share / (1 - share)
+
+    tau = next(i / toxicity._STEPS for i in range(10_000) if excess(i / toxicity._STEPS) <= 0)
+    vocabulary = [*k[0], *(w for w in k[1] if w not in k[0])]
+    for c in (0, 1):  # the models sum to one, the unknown word included
+        assert sum(p(c, w) for w in [*vocabulary, "no such word"]) == pytest.approx(1)
+        for h in list({x for x, _ in own})[:5]:
+            assert sum(conditional(c, h, w) for w in [*vocabulary, "no such word"]) == pytest.approx(1)
+    unit = lambda x: round(x * toxicity.UNIT)
+
+    def difference(t):
+        x = [max(unit(math.log(conditional(1, h, w) / conditional(0, h, w))) - unit(tau), 0) if w in k[1] else 0 for h, w in pairs(t)]
+        return sum(x) / toxicity.UNIT / len(x) + math.log(1 - share) if x else 0.0
+
+    return difference, len(own)
+
+
+@pytest.mark.parametrize("share, sent", [(0.01, None), (0.01, 5), (0.3, None), (0.9, 5)])
+def test_toxicity_equals_its_formulas(spark, monkeypatch, share, sent):
+    """Every text's difference against dictionaries, whole and with the tables sent in slices."""
+    r = random.Random(9)
+    words = [f"{a}{b}" for a in "bdfgk" for b in "aeiou"]
+    texts = []
+    for i in range(120):
+        y = int(i % 4 == 0)
+        w = [r.choice(words[: 9 + i % 16]) for _ in range(r.randint(0, 30))]
+        for _ in range(3 * y):
+            at = r.randrange(len(w) + 1)
+            w[at:at] = r.choice([["Zorg"], ["you", "blarf"], ["you", "Ünd"]])
+        texts.append((" ".join(w) + "." * (i % 3), y))
+    docs = table(spark, [(i, t, "en") for i, (t, _) in enumerate(texts)]).repartition(3)
+    known = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id LONG, toxic INT")
+    m = toxicity.fit(docs, known, share=share)
+    if sent:
+        monkeypatch.setattr(toxicity, "SENT", sent)
+        m = toxicity.fit(docs, known, share=share)
+        assert m.slices() > 1
+    difference, own = _kneser_ney(texts, share)
+    assert own and m.grams.count() == own
+    got = {x.k: x.x for x in toxicity._differences(docs.select(F.col("doc_id").alias("k"), "text"), m, "long", False).collect()}
+    for i, (t, _) in enumerate(texts):
+        assert got[i] == pytest.approx(difference(t), abs=1e-5), t
+
+
 def test_toxicity_keeps_words_apart(spark, corpus, monkeypatch):
     """A word that shares the first 21 hash bits with a toxic one, and slices of the words that are sent."""
     import numpy as np
@@ -143,9 +215,9 @@ def test_toxicity_keeps_words_apart(spark, corpus, monkeypatch):
     assert hashes([twin])[0] in hashes(["zorgle", "blarfed"])
     docs, known = corpus
     m = toxicity.fit(docs, known)
-    d = table(spark, [(1, " ".join([twin] * 9), "en"), (2, "zorgle " * 9, "en"), (3, "none", "en")])
+    d = table(spark, [(1, " ".join([twin] * 9), "en"), (2, "zorgle " * 9, "en"), (3, "none", "en"), (4, "zorgle " * 9, "de")])
     got = {r.doc_id: r.score for r in toxicity.score(d, m).collect()}
-    assert got[1] == got[3] < 0.5 < got[2]
+    assert got[1] == got[3] < 0.5 < got[2] == got[4]
     whole = sorted(map(tuple, toxicity.score(docs, m).collect()))
     monkeypatch.setattr(toxicity, "SENT", m.n // 2)
     assert m.slices() > 1 and sorted(map(tuple, toxicity.score(docs, m).collect())) == whole
