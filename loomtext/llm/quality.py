@@ -1,17 +1,17 @@
 """Quality classifier: Naive Bayes support vectors over n-gram indicators.
 
-Indicators: 4-grams of character kinds over the whole text (what a character is, not which: quality shows in
-layout, symbols and capitals, and short texts share these), and the repeat patterns "X X" and "X X X" of word
-2- and 3-grams. Each is scaled by its class log-count ratio, rows are brought to length one, and a linear
-hinge-loss model is fitted by dual coordinate descent; a logistic curve fitted on rows that the model did
-not see turns margins into scores.
+Indicators: byte 1- to 3-grams and word 1- and 2-grams of the whole text, letters in either case apart, hashed into
+SIZE buckets, and of word 2-grams also whether both words are the same, which no single 2-gram shows. Each indicator
+is scaled by its class log-count ratio, rows are brought to length one, and a linear hinge-loss model is fitted by
+dual coordinate descent; a logistic curve fitted on rows that the model did not see turns margins into scores.
 
 The fit uses at most `sample` labelled rows, the first by a hash of their id. Scoring reads every whole text.
 
 Defined results: null or empty texts have no indicators and get the score of a zero margin plus bias; null
 labels are left out, of several labels of one id the lowest counts; with one class only, or no labelled row,
-every score is the smoothed share of label 1; repeated rows are each scored; a null id is carried as null;
-further columns are ignored; an empty table gives an empty result.
+every score is the smoothed share of label 1; repeated rows are each scored, and equal texts score the same; a score
+of THRESHOLD counts as good; very long texts are read whole, one at a time; a null id is carried as null; further
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,47 +26,46 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 
-#: Kinds of bytes: 0 blank or control, 1 digit, 2 capital, 3 letter (all non-ASCII too), 4 stop or comma,
-#: 5 exclamation mark, 6 line feed, 7 any other symbol.
-KIND = np.full(256, 7, np.int64)
-KIND[:33] = 0
-KIND[48:58] = 1
-KIND[65:91] = 2
-KIND[97:123] = 3
-KIND[128:] = 3
-KIND[[44, 46]] = 4
-KIND[33] = 5
-KIND[10] = 6
-#: Two repeat patterns, then the 4-grams of eight kinds.
-SIZE = 2 + 8**4
+#: Buckets of the hashed indicators; the last one says that a word follows itself.
+SIZE = 1 << 20
 #: Counts that every indicator starts with in either class.
 PRIOR = 10.0
 COST = 5.0
 #: Labelled rows that a fit uses at most.
 SAMPLE = 8_000
 THRESHOLD = 0.7
-_REPEATS = np.array([0, 1], np.int64)
 
 
 def indicators(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """Per row the sorted distinct indices of its n-gram indicators."""
+    """Per row the distinct buckets of its n-gram indicators, in order of first appearance."""
     lo = int(off[0])
-    k = KIND[raw[lo : int(off[-1])]]
-    g = ((k[:-3] * 8 + k[1:-2]) * 8 + k[2:-1]) * 8 + k[3:] + 2 if len(k) > 3 else k[:0]
+    b = raw[lo : int(off[-1])].astype(np.uint64)
+    two = b[:-1] | b[1:] << np.uint64(8)
+    grams = [b + np.uint64(1 << 32), two + np.uint64(2 << 32), (two[:-1] | b[2:] << np.uint64(16)) + np.uint64(3 << 32)]
+    grams = [_bucket(g) for g in grams]
     h, bounds = T.word_hashes(raw, off, fold=False)
-    out = []
+    words = [_bucket(h), _bucket(h[:-1] * T._ODD[0] + h[1:] * T._ODD[1])]
+    same = h[1:] == h[:-1]
+    place, out = np.zeros(SIZE, np.int32), []
     for i in range(len(off) - 1):
-        s, e = int(off[i]) - lo, int(off[i + 1]) - lo
-        w = h[bounds[i] : bounds[i + 1]]
-        same = w[1:] == w[:-1]
-        extra = _REPEATS[[bool(same.any()), bool((same[1:] & same[:-1]).any())]]
-        has = np.zeros(SIZE, bool)
-        has[g[s : max(s, e - 3)]] = True
-        has[extra] = True
-        out.append(np.flatnonzero(has))
+        s, e, first, last = int(off[i]) - lo, int(off[i + 1]) - lo, int(bounds[i]), int(bounds[i + 1])
+        own = [g[s : max(s, e - n)] for n, g in enumerate(grams)] + [w[first : max(first, last - n)] for n, w in enumerate(words)]
+        if same[first : max(first, last - 1)].any():
+            own.append(_SAME)
+        x = np.concatenate(own)
+        at = np.arange(len(x), dtype=np.int32)
+        place[x[::-1]] = at[::-1]  # the first place of each bucket
+        out.append(x[place[x] == at])
     return out
 
 
+_SAME = np.array([SIZE - 1], np.int64)
+
+
+def _bucket(x: np.ndarray) -> np.ndarray:
+    return (T.mix(x) % np.uint64(SIZE - 1)).astype(np.int64)
+
+
 @dataclass
 class Model:
     """margin = sum(weight) / sqrt(sum(square)) + bias over a row's indicators; score = 1 / (1 + exp(-(slope * margin + shift)))."""
@@ -161,13 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
         for b in batches:
             raw, off = T.texts(b, "text")
             for lo, hi in T.chunks(off):
-                rows = [x.astype(np.int16).tobytes() for x in indicators(raw, off[lo : hi + 1])]
+                rows = [np.sort(x).astype(np.int32).tobytes() for x in indicators(raw, off[lo : hi + 1])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     got = picked.mapInArrow(run, f"doc_id {kind}, label int, x binary").toArrow().to_pylist()
     got.sort(key=lambda r: (hash_order(r["doc_id"]), r["x"]))
-    return fit_rows([np.frombuffer(r["x"], np.int16).astype(np.int64) for r in got], [r["label"] for r in got])
+    return fit_rows([np.frombuffer(r["x"], np.int32) for r in got], [r["label"] for r in got])
 
 
 def hash_order(x) -> int:

@@ -67,6 +67,49 @@ def test_hinge_model_separates():
     assert w[0] + w[2] >= 0.99 and w[1] + w[2] <= -0.99
 
 
+def test_quality_indicators_and_ratios():
+    """Indicators by plain sets, log-count ratios by plain counts, and a fit that long gradient descent doesn't better."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomtext.llm import _text as T
+
+    r = random.Random(4)
+    texts = ["", None, "a", "Ab ab", "x x y", "naïve ☃\t!", *(" ".join(r.choice(["aa", "b", "C", "dd!", "é", "***"][i % 2 :]) for _ in range(r.randint(1, 30))) for i in range(60))]
+    raw, off = T.texts(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), "text")
+    got = quality.indicators(raw, off)
+
+    def hashed(word):
+        b = np.frombuffer(word.encode(), np.uint8)
+        return T.word_hashes(b, np.array([0, len(b)]), fold=False)[0]
+
+    bucket = lambda x: int(quality._bucket(np.atleast_1d(np.asarray(x, np.uint64)))[0])
+    for t, x in zip(texts, got, strict=True):
+        raw_text, w = (t or "").encode(), re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        want = {bucket(int.from_bytes(raw_text[i : i + n], "little") + (n << 32)) for n in (1, 2, 3) for i in range(len(raw_text) - n + 1)}
+        want |= {bucket(hashed(a)) for a in w} | {bucket(hashed(a) * T._ODD[0] + hashed(b) * T._ODD[1]) for a, b in zip(w, w[1:], strict=False)}
+        want |= {quality.SIZE - 1} if any(a == b for a, b in zip(w, w[1:], strict=False)) else set()
+        assert set(x.tolist()) == want and len(x) == len(want)
+    rows, y = [np.sort(x) for x in got[3:]], [i % 2 for i in range(len(got) - 3)]
+    m = quality.fit_rows(rows, y)
+    used = [i for i in range(len(rows)) if i % 5 != 4]
+    n = {c: collections.Counter(int(k) for i in used if y[i] == c for k in rows[i]) for c in (0, 1)}
+    total = {c: sum(n[c].values()) + quality.PRIOR * quality.SIZE for c in (0, 1)}
+    for k in {int(k) for i in used for k in rows[i]}:
+        ratio = math.log((n[1][k] + quality.PRIOR) / total[1]) - math.log((n[0][k] + quality.PRIOR) / total[0])
+        assert m.square[k] == pytest.approx(ratio**2, rel=1e-4, abs=1e-9)
+    x = np.random.default_rng(1).normal(size=(80, 5))
+    sign = np.where(x[:, 0] + 0.5 * x[:, 1] + 0.3 * np.random.default_rng(2).normal(size=80) > 0, 1.0, -1.0)
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - sign * (x @ w[:-1] + w[-1])).sum()
+    w = quality.dual_coordinate_descent([(np.arange(5), v) for v in x], sign, np.ones(80), 5, epochs=300)
+    best, v = np.inf, np.zeros(6)
+    for i in range(4000):
+        wrong = sign * (x @ v[:-1] + v[-1]) < 1
+        v = v - (v - np.append((sign[wrong, None] * x[wrong]).sum(0), sign[wrong].sum())) / (i + 10)
+        best = min(best, loss(v))
+    assert loss(w) <= best + 1e-2
+
+
 def test_toxicity(spark, corpus, odd, nothing, labels):
     docs, known = corpus
     held = F.col("doc_id") % 5 == 0
