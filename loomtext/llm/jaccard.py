@@ -3,20 +3,28 @@
 A text's set is its distinct k-word shingles (64-bit hashes); two sets link when
 `100 * |intersection| >= percent * |union|`. The steps:
 
-1. One pass hashes every text into its set key and a count sketch of all shingles (fixed size, summed over
-   all texts). The sketch orders shingles from rare to frequent; any counts give a right order, better
-   counts only give smaller candidate lists, so the sketch's collisions never change a result.
-2. Texts with equal sets fall into one class; classes with equal prefix and size fall into one group.
-3. Groups post their prefix shingles. Shingles that only one group posts are dropped after a grouped
-   minimum and maximum, so hot shingles are pre-aggregated and never gathered.
-4. Star rounds compare every group with one other group only, the pivot (for each shingle the group whose
-   shingles are shared most) with which it has most prefix shingles in common; pairs that hold are contracted into components. A family of thousands of copies is settled in linear work here.
-5. What remains open (shingles that groups of different components post) is joined exactly under the
-   length and position filters; surviving group pairs expand to member classes and are verified.
-
-Defined results: null or blank texts have an empty set, link with nothing and are their own component;
-fewer than k words form one shingle; equal texts and repeated rows share a class; a null id never links and
-gets a null component; further columns are ignored; an empty table gives an empty result.
+1. One pass hashes every text into its set key, its smallest shingles (pins) and a count sketch of all shingles
+   (fixed size, summed over all texts). The sketch orders shingles from rare to frequent; any counts give a right
+   order, better counts only give shorter candidate lists, so the sketch's collisions never change a result.
+2. Texts with equal sets fall into one class. Every class is compared with one other class, the pivot that shares
+   most pins with it and with others; pairs that hold are contracted into components.
+3. Classes with equal prefix and size fall into one group. A second pass posts the prefix shingles of groups, and
+   with them the groups' members, in one exchange; shingles that only one group posts are dropped in it.
+   Shingles that the sketch calls hot are kept unseen and dealt by group, so that no task gathers them.
+4. Of what remains open (shingles that groups of different components post) every group is compared with one other,
+   the pivot that shares most prefix shingles with it and with others. A family of thousands of copies is settled in
+   linear work here.
+5. What is open after that is joined under the length, position and signature filters; surviving group pairs expand
+   to member classes and are verified.
+
+Verifying sends each pair's sets to the place of one of them, once, in salted parts of at most SALT pairs; a task
+holds two sets at a time.
+
+Defined results: null or blank texts have an empty set, link with nothing and are their own component; fewer than
+k words form one shingle; equal texts and repeated rows share a class; ids are taken as whole numbers, and a null
+id, or one that is no number, never links and gets a null component; further columns are ignored, whatever their
+names; very long texts are hashed whole, one at a time; an empty table gives an empty result. Nothing depends on
+ties: of equal counts the shingle's hash decides, of equal pivots the class key.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -34,39 +42,48 @@ from ._util import connected, discard, join_sized, materialize
 WORDS, PERCENT = 5, 75
 #: The count sketch has 2**SKETCH_BITS counters, in blocks of 2**BLOCK_BITS.
 SKETCH_BITS, BLOCK_BITS = 22, 15
-#: Pivot rounds before the exact join of what is left.
-STAR_ROUNDS = 2
+#: Smallest shingles of a set that choose its first pivot; bits of a set's signature.
+PINS, SIGNATURE = 6, 512
+#: Pairs that are verified in one place, about; places that one row of a text serves, about; bytes sent at once.
+SALT, SERVED, SENT_BYTES = 4096, 256, 1 << 24
 
 
 def _signed(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64), pa.int64())
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    off = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), _signed(np.concatenate(parts) if parts else []))
+
+
 def _sets_of(batches, k: int):
-    """(ids, sets) of a chunk of rows at a time."""
+    """(row range of a batch, the batch, sets) of a chunk of rows at a time."""
     for b in batches:
         raw, off = T.texts(b, "text")
         for lo, hi in T.chunks(off):
-            yield b.column(0).slice(lo, hi - lo), T.shingle_sets(raw, off[lo : hi + 1], k)
+            yield b.slice(lo, hi - lo), T.shingle_sets(raw, off[lo : hi + 1], k)
 
 
 def _keys_and_sketch(docs: DataFrame, k: int) -> DataFrame:
+    names = ["doc_id", "n", "ck", "pins", "block", "counts"]
+
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint8)
-        for ids, sets in _sets_of(batches, k):
+        for b, sets in _sets_of(batches, k):
             n = [len(s) for s in sets]
             if sum(n):
                 at, more = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
                 counts[at] = np.minimum(counts[at] + more, 255)
             keys = [T.set_key(s) for s in sets]
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "ck", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), _lists([s[:PINS] for s in sets]), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         parts = counts.reshape(-1, 1 << BLOCK_BITS)
         for i in np.flatnonzero(parts.any(axis=1)):
             none = pa.nulls(1).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i], pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary())], names=["doc_id", "n", "ck", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1).cast(pa.list_(pa.int64())), pa.array([i], pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, ck long, block int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, ck long, pins array<long>, block int, counts binary")
 
 
 def _summed_sketch(blocks: DataFrame) -> np.ndarray:
@@ -89,8 +106,8 @@ def _summed_sketch(blocks: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix of a set, rare shingles first: long enough that linked sets share one of its shingles."""
+def _prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a set, rare shingles first, long enough that linked sets share one of its shingles; and its counts."""
     n = len(s)
     p = n - (n * percent + 99) // 100 + 1
     c = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -98,70 +115,63 @@ def _prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
         edge = np.partition(c, p - 1)[p - 1]
         near = c <= edge
         s, c = s[near], c[near]
-    return s[np.lexsort((s, c))[:p]]
+    order = np.lexsort((s, c))[:p]
+    return s[order], c[order]
 
 
 def _group_key(prefix: np.ndarray, n: int) -> int:
     return T.set_key(prefix ^ np.uint64(n * 2654435761 & (1 << 64) - 1))
 
 
-def _groups(docs: DataFrame, sketch, k: int, percent: int) -> DataFrame:
-    def run(batches):
-        counts, seen = sketch.value, set()
-        for _, sets in _sets_of(batches, k):
-            rows = [(T.set_key(s), len(s), _group_key(_prefix(s, counts, percent), len(s))) for s in sets if len(s)]
-            rows = [r for r in dict.fromkeys(rows) if r[0] not in seen]
-            if len(seen) < 200_000:
-                seen.update(r[0] for r in rows)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["ck", "n", "gh"])
-
-    return docs.mapInArrow(run, "ck long, n long, gh long").distinct()
+def _signature(s: np.ndarray) -> list[int]:
+    """The parity of the set's shingles in each of SIGNATURE slots: two of them differ in no more bits than their sets in shingles."""
+    odd = np.bincount((s & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _postings(docs: DataFrame, sketch, k: int, percent: int) -> DataFrame:
-    """(tok, gh, np): prefix shingle, group, and size and position in one number."""
+    """(tok, gh, np, kind, sig): prefix shingle, group, size and position in one number, 1 where the shingle is hot;
+    and of every group's members (group, class, size, 2, signature)."""
+    longs = pa.list_(pa.int64())
 
     def run(batches):
-        counts, seen = sketch.value, set()
+        counts, seen, told = sketch.value, set(), set()
+        hot = 8 * float(counts.mean()) + 1000
         for _, sets in _sets_of(batches, k):
-            tok, gh, at = [], [], []
+            tok, gh, at, kind, members = [], [], [], [], []
             for s in sets:
-                if len(s):
-                    p = _prefix(s, counts, percent)
-                    g = _group_key(p, len(s))
-                    if g in seen:
-                        continue
-                    if len(seen) < 200_000:
-                        seen.add(g)
+                if not len(s):
+                    continue
+                p, c = _prefix(s, counts, percent)
+                g, ck = _group_key(p, len(s)), T.set_key(s)
+                if ck not in told:
+                    members.append((g, ck, len(s) << 32, _signature(s)))
+                if g not in seen:
                     tok.append(p)
                     gh.append(np.full(len(p), g, np.int64))
                     at.append((len(s) << 32) + np.arange(len(p), dtype=np.int64))
+                    kind.append((c > hot).astype(np.int8))
+                if len(told) < 200_000:
+                    told.add(ck)
+                    seen.add(g)
+            names = ["tok", "gh", "np", "kind", "sig"]
+            if members:
+                g, ck, n, sig = zip(*members, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(ck, pa.int64()), pa.array(n, pa.int64()), pa.array([2] * len(g), pa.int8()), pa.array(sig, longs)], names=names)
             if tok:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tok)), pa.array(np.concatenate(gh)), pa.array(np.concatenate(at))], names=["tok", "gh", "np"])
+                kind = np.concatenate(kind)
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tok)), pa.array(np.concatenate(gh)), pa.array(np.concatenate(at)), pa.array(kind), pa.nulls(len(kind), longs)], names=names)
 
-    return docs.mapInArrow(run, "tok long, gh long, np long")
+    return docs.mapInArrow(run, "tok long, gh long, np long, kind byte, sig array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    def run(batches):
-        for _, sets in _sets_of(batches, k):
-            some = [s for s in sets if len(s)]
-            if some:
-                toks = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in some]))), pa.int32()), _signed(np.concatenate(some)))
-                yield pa.RecordBatch.from_arrays([pa.array([T.set_key(s) for s in some], pa.int64()), toks], names=["ck", "toks"])
-
-    return docs.mapInArrow(run, "ck long, toks array<long>")
+def _named(comps: DataFrame) -> DataFrame:
+    return comps.select(F.col("node").alias("ck"), "comp")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the class pairs (u, v) those whose sets reach the similarity."""
-    needed = materialize(pairs.select(F.explode(F.array("u", "v")).alias("ck")).distinct(), "needed")
-    sets = join_sized(sets, needed, "ck")
-    a = sets.select(F.col("ck").alias("u"), F.col("toks").alias("a"))
-    b = sets.select(F.col("ck").alias("v"), F.col("toks").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(b, "v").join(a, "u").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
+def _with_comp(df: DataFrame, comps: DataFrame) -> DataFrame:
+    """Add the component of class `ck`; a class without links is its own."""
+    return join_sized(df, comps, "ck", "left").withColumn("comp", F.coalesce("comp", "ck"))
 
 
 class JaccardJoin:
@@ -169,92 +179,174 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT):
         spark = docs.sparkSession
-        self.all = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-        self.docs = self.all.where("doc_id IS NOT NULL")
+        every = docs.select(docs[id_col].try_cast("long").alias("doc_id"), docs[text_col].alias("text"))
+        self.docs = every.where("doc_id IS NOT NULL")
         self.words, self.percent = words, percent
-        first = materialize(_keys_and_sketch(self.all, words), "sets")
+        first = materialize(_keys_and_sketch(every, words), "sets")
         self.rows = first.where("ck IS NOT NULL").select("doc_id", "n", "ck")
-        sketch = spark.sparkContext.broadcast(_summed_sketch(first.where("block IS NOT NULL").select("block", "counts")))
-        self.classes = materialize(_groups(self.docs, sketch, words, percent), "classes")
-        post = _postings(self.docs, sketch, words, percent)
-        shared = post.groupBy("tok").agg(F.min("gh").alias("lo"), F.max("gh").alias("hi")).where("lo <> hi").select("tok")
-        self.live = materialize(post.join(shared, "tok").distinct().selectExpr("tok", "gh", "np >> 32 AS n", "np & 4294967295 AS pos"), "live")
-        several = self.classes.groupBy("gh").agg(F.min("ck").alias("lo"), F.max("ck").alias("hi")).where("lo <> hi").select("gh")
-        members = self.classes.join(self.live.select("gh").union(several).distinct(), "gh")
-        self.members = materialize(members, "members")
-        owners = self.rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("ck").agg(F.min("doc_id").alias("doc_id"))
-        need = owners.join(self.members.select("ck"), "ck").select("doc_id").distinct()
-        self.sets = materialize(_sets(join_sized(self.docs, materialize(need, "need"), "doc_id"), words).dropDuplicates(["ck"]), "candidates")
-
-    def _possible(self, a: str, b: str):
-        """Length filter, and the position filter, which the first shared shingle of a linked pair always meets."""
+        own = first.where("n > 0 AND doc_id IS NOT NULL")
+        self.classes = materialize(own.groupBy("ck").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), F.first("pins").alias("pins")), "classes")
+        self.sketch = spark.sparkContext.broadcast(_summed_sketch(first.where("block IS NOT NULL").select("block", "counts")))
+
+    def _post(self) -> None:
+        """Fill `live` (tok, gh, n, pos), the postings that groups share, and `members` (gh, ck, n)."""
+        post = _postings(self.docs, self.sketch, self.words, self.percent)
+        # A hot shingle is shared anyway: its rows are dealt by group, each on its own.
+        post = post.withColumn("part", F.when(F.col("kind") == 1, F.col("gh")).otherwise(0))
+        post = post.repartition("tok", "part")
+        w = Window.partitionBy("tok", "part")
+        several = F.min("gh").over(w) < F.max("gh").over(w)
+        kept = post.withColumn("several", several).where("kind > 0 OR several").dropDuplicates(["tok", "part", "gh", "np", "kind"])
+        live = materialize(kept.selectExpr("tok", "gh", "np >> 32 AS n", "np & 4294967295 AS pos", "kind", "several", "sig"), "live")
+        self.live = live.where("kind < 2").select("tok", "gh", "n", "pos")
+        self.members = live.where("kind = 2").select(F.col("tok").alias("gh"), F.col("gh").alias("ck"), "n", "several", "sig")
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """Of the distinct class pairs (u, v) those whose sets reach the similarity. Each pair meets at the place of v."""
+        k, percent = self.words, self.percent
+        parts = pairs.groupBy("v").agg(F.ceil(F.count("*") / SALT).alias("parts"))
+        meet = join_sized(pairs, parts, "v").select(F.col("u").alias("ck"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"))
+        host = parts.select(F.col("v").alias("ck"), "v", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
+        sent = meet.union(host)
+        many = sent.groupBy("ck").agg(F.ceil(F.count("*") / SERVED).alias("rows")).where("rows > 1")
+        row = F.pmod(F.xxhash64("v", "part"), F.coalesce("rows", F.lit(1)))
+        sent = join_sized(sent, many, "ck", "left").groupBy("ck", row.alias("row")).agg(F.collect_list(F.struct("v", "part")).alias("to"))
+        need = materialize(join_sized(sent, self.classes.select("ck", "owner"), "ck").select(F.col("owner").alias("doc_id"), "ck", "to"), "need")
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["v", "part", "ck", "own"])
+
+        def send(batches):
+            for b, sets in _sets_of(batches, k):
+                rows, held = [], 0
+                for s, key, to in zip(sets, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    if len(s) and T.set_key(s) == key:  # another text may have the same id
+                        raw = s.tobytes()
+                        for t in to:
+                            rows.append((t["v"], t["part"], key, raw))
+                            held += len(raw)
+                            if held >= SENT_BYTES:
+                                yield batch(rows)
+                                rows, held = [], 0
+                if rows:
+                    yield batch(rows)
+
+        def meet_all(batches):
+            place, host = None, None
+            for b in batches:
+                us, vs = [], []
+                for v, part, ck, raw in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+                    s = np.frombuffer(raw.as_buffer(), np.uint64)
+                    if ck == v:
+                        place, host = (v, part), s.copy()
+                    elif place == (v, part):
+                        both = len(np.intersect1d(host, s, assume_unique=True))
+                        if 100 * both >= percent * (len(host) + len(s) - both):
+                            us.append(ck)
+                            vs.append(v)
+                if us:
+                    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+        texts = join_sized(self.docs, need, "doc_id", rows=100_000).select("doc_id", "text", "ck", "to")
+        sets = texts.mapInArrow(send, "v long, part int, ck long, own binary").repartition("v", "part")
+        return sets.sortWithinPartitions("v", "part", F.col("ck") != F.col("v")).mapInArrow(meet_all, "u long, v long").distinct()
+
+    def _pin_pivots(self) -> DataFrame:
+        """(u, v): for every class the class that shares most pins with it, of those that pins are shared with most."""
+        pins = self.classes.select("ck", "n", F.explode("pins").alias("h"))
+        df = pins.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+        pins = materialize(pins.join(df, "h"), "pins")
+        weighed = join_sized(pins, materialize(pins.groupBy("ck").agg(F.sum("df").alias("weight")), "weight"), "ck")
+        heavy = weighed.groupBy("h").agg(F.max(F.struct("weight", "ck", "n")).alias("p"))
+        near = weighed.join(heavy, "h").where("ck <> p.ck").where(f"100 * least(n, p.n) >= {self.percent} * greatest(n, p.n)")
+        near = near.groupBy(F.col("ck").alias("u"), F.col("p.ck").alias("v")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        # Linked sets share most of their smallest shingles; what shares fewer is left to the prefixes.
+        near = near.where(f"c >= least(n, {PINS}) / 3")
+        return near.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
+
+    def _prefix_pivots(self, opened: DataFrame, span: DataFrame, state: DataFrame, tried: DataFrame) -> DataFrame:
+        """(u, v): for every group's first class that of the group it shares most prefix shingles with, of those whose
+        shingles are shared most (of a family its original, or the copy least changed); and in a group of several
+        components every class with the first."""
+        weight = materialize(opened.groupBy("gh").agg(F.sum("df").alias("weight")), "weight")
+        heavy = join_sized(opened, weight, "gh").groupBy("tok").agg(F.max(F.struct("weight", "gh", "rep", "n", "lo", "hi")).alias("p"))
+        t = opened.join(heavy, "tok").where("gh <> p.gh AND NOT (lo = hi AND p.lo = p.hi AND lo = p.lo)").where(f"100 * least(n, p.n) >= {self.percent} * greatest(n, p.n)")
+        # A shared shingle that few groups have says most: copies of a copy share its changes.
+        t = t.groupBy(F.col("rep").alias("u"), F.col("p.rep").alias("v")).agg(F.sum((F.lit(1 << 30) / F.col("df")).cast("long")).alias("c"))
+        t = t.join(tried, ["u", "v"], "left_anti").groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
+        own = join_sized(state, span.where("lo <> hi").select("gh", "rep"), "gh").select(F.col("ck").alias("u"), F.col("rep").alias("v"))
+        return t.union(own).where("u <> v").distinct()
+
+    def _near(self, live: DataFrame, members: DataFrame, apart: str = "true") -> DataFrame:
+        """(g, h): pairs of groups, g < h, that pass the length, position and signature filters.
+
+        The first shared shingle of a linked pair always passes the position filter: with what follows it in either
+        set it holds the whole overlap. Signatures are those of groups with one member.
+        """
         t = self.percent
-        return F.expr(f"100 * least({a}.n, {b}.n) >= {t} * greatest({a}.n, {b}.n) AND {100 + t} * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {t} * ({a}.n + {b}.n)")
-
-    def _expanded(self, pairs: DataFrame, where: str = "true") -> DataFrame:
+        one = members.groupBy("gh").agg(F.min("ck").alias("a"), F.max("ck").alias("b"), F.first("sig").alias("sig"))
+        live = join_sized(live, one.select("gh", F.when(F.col("a") == F.col("b"), F.col("sig")).alias("sig")), "gh")
+        x, y = live.alias("x"), live.alias("y")
+        long = f"100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n)"
+        early = f"{100 + t} * least(x.n - x.pos, y.n - y.pos) >= {t} * (x.n + y.n)"
+        apart_bits = " + ".join(f"bit_count(x.sig[{i}] ^ y.sig[{i}])" for i in range(SIGNATURE // 64))
+        alike = f"coalesce({100 + t} * ({apart_bits}) <= {100 - t} * (x.n + y.n), true)"
+        j = x.join(y, (F.col("x.tok") == F.col("y.tok")) & F.expr(f"x.gh < y.gh AND {long} AND {early} AND {apart} AND {alike}"))
+        return j.select(F.col("x.gh").alias("g"), F.col("y.gh").alias("h")).distinct()
+
+    def _expanded(self, pairs: DataFrame, members: DataFrame, where: str = "true") -> DataFrame:
         """Group pairs (g, h), g = h for pairs within a group, as member class pairs u < v."""
-        m = self.members
-        a = m.select(F.col("gh").alias("g"), F.col("ck").alias("a"), *([F.col("comp").alias("ca")] if "comp" in m.columns else []))
-        b = m.select(F.col("gh").alias("h"), F.col("ck").alias("b"), *([F.col("comp").alias("cb")] if "comp" in m.columns else []))
+        more = [c for c in ("comp",) if c in members.columns]
+        a = members.select(F.col("gh").alias("g"), F.col("ck").alias("a"), *(F.col(c).alias("ca") for c in more))
+        b = members.select(F.col("gh").alias("h"), F.col("ck").alias("b"), *(F.col(c).alias("cb") for c in more))
         out = pairs.join(a, "g").join(b, "h").where("a <> b").where(where)
         return out.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
+    def _own(self, groups: DataFrame) -> DataFrame:
+        """Groups as pairs with themselves, where sets of their size can link without being equal."""
+        t = self.percent
+        return groups.where(f"100 * (n - 1) >= {t} * (n + 1)").select(F.col("gh").alias("g"), F.col("gh").alias("h")).distinct()
+
     def pairs(self) -> DataFrame:
         """(u, v): every link between different classes, by class key. As many rows as there are links."""
-        x, y = self.live.alias("x"), self.live.alias("y")
-        cross = x.join(y, (F.col("x.tok") == F.col("y.tok")) & F.expr("x.gh < y.gh") & self._possible("x", "y")).select(F.col("x.gh").alias("g"), F.col("y.gh").alias("h"))
-        own = self.members.select(F.col("gh").alias("g"), F.col("gh").alias("h"))
-        return _verified(self._expanded(cross.union(own).distinct()), self.sets, self.percent)
+        self._post()
+        near = self._near(self.live, self.members).union(self._own(self.members.where("several")))
+        return self._verified(materialize(self._expanded(near, self.members), "todo"))
 
     def _components(self) -> DataFrame:
-        """(ck, comp) of all classes that have links."""
-        percent, live, members = self.percent, self.live, self.members
-        links = tried = comps = None
-        state = members.withColumn("comp", F.col("ck"))
-        for step in range(STAR_ROUNDS + 1):
-            span = state.groupBy("gh").agg(F.min("ck").alias("rep"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("ck").alias("far"))
-            span = materialize(span, "span")
-            posted = join_sized(live, span, "gh")
+        """(ck, comp) of all classes that have links: pivots by pins, pivots by prefixes, then the join of what is open."""
+        tried = materialize(self._pin_pivots(), "todo")
+        links = materialize(self._verified(tried), "links")
+        comps = _named(connected(links))
+        self._post()
+        for last in (False, True):
+            state = materialize(_with_comp(self.members, comps), "state")
+            span = materialize(state.groupBy("gh", "n").agg(F.min("ck").alias("rep"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "span")
+            posted = join_sized(self.live, span.select("gh", "rep", "lo", "hi"), "gh")
             bounds = posted.groupBy("tok").agg(F.min("lo").alias("low"), F.max("hi").alias("high"), F.count("*").alias("df")).where("low <> high")
-            opened = materialize(posted.join(bounds.select("tok", "df"), "tok").drop("far"), "open")
-            if step < STAR_ROUNDS:
-                # The group whose shingles most others share: of a family, its original or the copy least changed.
-                noise = F.lit(1.0) if step == 0 else 1 + F.pmod(F.xxhash64("gh", F.lit(step)), F.lit(1000)) / 1000
-                weight = materialize(opened.groupBy("gh").agg((F.sum("df") * F.first(noise)).alias("weight")), "weight")
-                heavy = join_sized(opened, weight, "gh").groupBy("tok").agg(F.max(F.struct("weight", "gh", "rep", "n", "lo", "hi")).alias("p"))
-                t = opened.join(heavy, "tok").where("gh <> p.gh AND NOT (lo = hi AND p.lo = p.hi AND lo = p.lo)").where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-                t = t.groupBy("rep", F.col("p.rep").alias("b")).agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-                own = "rep" if step % 2 == 0 else "far"
-                inner = state.join(span.where("lo <> hi").select("gh", F.col(own).alias("rep")), "gh").select(F.col("ck").alias("a"), F.col("rep").alias("b"))
-                todo = t.select(F.col("rep").alias("a"), "b").union(inner).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+            opened = materialize(posted.join(bounds.select("tok", "df"), "tok"), "open")
+            if last:
+                near = self._near(opened, self.members, "NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)").union(self._own(span.where("lo <> hi")))
+                todo = self._expanded(near, state, "ca <> cb")
             else:
-                x, y = opened.alias("x"), opened.alias("y")
-                near = x.join(y, (F.col("x.tok") == F.col("y.tok")) & F.expr("x.gh < y.gh AND NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)") & self._possible("x", "y"))
-                near = near.select(F.col("x.gh").alias("g"), F.col("y.gh").alias("h"))
-                own = span.where("lo <> hi").select(F.col("gh").alias("g"), F.col("gh").alias("h"))
-                self.members = state
-                todo = self._expanded(near.union(own).distinct(), "ca <> cb")
-            if tried is not None:
-                todo = todo.join(tried, ["u", "v"], "left_anti")
+                todo = self._prefix_pivots(opened, span, state, tried)
+            for t in (tried, tried.select(F.col("v").alias("u"), F.col("u").alias("v"))):
+                todo = todo.join(t, ["u", "v"], "left_anti")
             todo = materialize(todo, "todo")
-            found = materialize(_verified(todo, self.sets, percent), "links")
-            tried = todo if tried is None else tried.union(todo)
-            links = found if links is None else links.union(found)
-            comps = connected(links)
-            state = materialize(members.join(comps.select(F.col("node").alias("ck"), "comp"), "ck", "left").withColumn("comp", F.coalesce("comp", "ck")), "state")
-            discard(span)
-            discard(opened)
-        self.members = members
-        return comps.select(F.col("node").alias("ck"), "comp")
+            found = materialize(self._verified(todo), "links")
+            tried, links = tried.union(todo), links.union(found)
+            if not found.isEmpty():
+                comps = _named(connected(links))
+            for t in (opened, span, state):
+                discard(t)
+        return comps
 
     def labels(self) -> DataFrame:
         """(doc_id, n_shingles, component_id): one row per input row; the component is its smallest linked id."""
-        rows = self.rows
-        linked = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("ck").agg(F.min("doc_id").alias("first"))
-        comp = linked.join(self._components(), "ck", "left").withColumn("comp", F.coalesce("comp", "ck"))
-        low = comp.groupBy("comp").agg(F.min("first").alias("component_id"))
+        comp = _with_comp(self.classes.select("ck", "owner"), self._components())
+        low = comp.groupBy("comp").agg(F.min("owner").alias("component_id"))
         named = comp.join(low, "comp").select("ck", "component_id")
-        out = rows.join(named, "ck", "left")
+        out = self.rows.join(named, "ck", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -271,7 +363,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = materialize(components(docs, id_col, text_col, words, percent), "components")
     stays = (F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()
     ids = marks.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(stays.cast("int")).alias("stays"), F.count("*").alias("rows"))
-    gone = materialize(ids.where("stays = 0").select(F.col("doc_id").alias(id_col)), "gone")
+    gone = materialize(ids.where("stays = 0").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col)), "gone")
     out = join_sized(docs, gone, id_col, "left_anti")
     if not ids.where("stays = 1 AND rows > 1").isEmpty():
         out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(out.where(F.col(id_col).isNull()))
