@@ -15,10 +15,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where a local session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="loomtext-")
@@ -72,7 +74,7 @@ def _state(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of the undirected edges (u, v); comp is the smallest node reachable.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join back, until the edge
@@ -80,9 +82,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     cur = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _state(cur)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = cur.union(cur.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -95,6 +95,4 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("connected components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
