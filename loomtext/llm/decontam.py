@@ -106,8 +106,7 @@ def hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(row, n_words, n_hit, item_ids array<string>) of every document row, where `row` is (id, copy hash) of the row."""
     d = _rows(docs, id_col, text_col).withColumn("w", words(F.col("text")))
-    b = bench.select(bench[item_col].cast("string").alias("item_id"), words(bench[item_text]).alias("w")).where("item_id IS NOT NULL").where(F.size("w") > 0)
-    found = hits(d.select("row", "w"), b)
+    found = hits(d.select("row", "w"), _items(bench, item_col, item_text))
     per = found.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     per = per.select("row", "item_ids", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"] - 1))))).cast("long").alias("n_hit"))
     per = materialize(per, "contaminated")
@@ -115,6 +114,11 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     return out.select("doc_id", "row", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
+def _items(bench: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(item_id, w) of all items with an id and words."""
+    return bench.select(bench[item_col].cast("string").alias("item_id"), words(bench[item_text]).alias("w")).where("item_id IS NOT NULL").where(F.size("w") > 0)
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text, and a key that equal rows share and others don't: results are the same for equal rows."""
     d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
@@ -131,9 +135,14 @@ def report(docs: DataFrame, bench: DataFrame, **names: str) -> DataFrame:
     return c.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), _is_contaminated().alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that are not contaminated, with all their columns."""
-    bad = materialize(contamination(docs, bench, id_col, text_col).where(_is_contaminated()).select("row").distinct(), "bad-rows")
+def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows without any benchmark window, with all their columns: one hit word is enough to drop a row, however long it is.
+
+    That is stricter than `contaminated` in report(), which asks for a twentieth of the words.
+    """
+    d = _rows(docs, id_col, text_col).select("row", words(F.col("text")).alias("w"))
+    bad = materialize(hits(d, _items(bench, item_col, item_text)).select(F.col("row").alias("__row")).distinct(), "bad-rows")
     key = F.concat_ws(":", F.coalesce(docs[id_col].cast("string"), F.lit("")), F.hex(F.xxhash64(docs[text_col])))
-    keyed = docs.withColumn("__row", key)
-    return keyed.join(_sized(bad.withColumnRenamed("row", "__row"), small_enough(bad)), "__row", "left_anti").drop("__row")
+    keyed = docs.select(F.struct("*").alias("__doc"), key.alias("__row"))
+    kept = keyed.join(_sized(bad, small_enough(bad)), "__row", "left_anti")
+    return kept.select(*(F.col("__doc").getField(c).alias(c) for c in docs.columns))
