@@ -63,6 +63,17 @@ def texts(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
+def trim() -> None:
+    """Give freed memory back: workers live on between tasks and stages, beside others of their executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def chunks(off: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of about `most` bytes each, one row at least."""
     a, n = 0, len(off) - 1

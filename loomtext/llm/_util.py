@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of two or three narrow columns that may be broadcast; above it joins shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 _own: dict[str, str] = {}
 

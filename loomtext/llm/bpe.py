@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import _text as T
+
 #: Longer texts are encoded in pieces of about this many characters.
 LONG_TEXT = 65_536
 
@@ -90,12 +92,13 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     def run(batches):
         enc = encoding(path, pattern)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
                 texts = [t or "" for t in part.column(0).to_pylist()]
                 ids = [encode_text(enc, t, long_text) for t in texts]
                 same = [enc.decode_bytes(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=[*part.schema.names[1:], "n_tokens", "ids", "lossless"])
+        T.trim()
 
     kept = [id_col, *carry]
     shape = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))

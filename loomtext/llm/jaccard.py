@@ -63,6 +63,7 @@ def _sets_of(batches, k: int):
         raw, off = T.texts(b, "text")
         for lo, hi in T.chunks(off):
             yield b.slice(lo, hi - lo), T.shingle_sets(raw, off[lo : hi + 1], k)
+    T.trim()
 
 
 def _keys_and_sketch(docs: DataFrame, k: int) -> DataFrame:
@@ -106,6 +107,12 @@ def _summed_sketch(blocks: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _levels(counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """Counts as levels of one byte, a twelfth of an octave each, which order as well; and the highest level that is not hot."""
+    level = lambda c: np.minimum(np.rint(12 * np.log2(c + np.float32(1))), 255).astype(np.uint8)
+    return level(counts), int(level(np.float32(8 * float(counts.mean()) + 1000)))
+
+
 def _prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The prefix of a set, rare shingles first, long enough that linked sets share one of its shingles; and its counts."""
     n = len(s)
@@ -135,8 +142,7 @@ def _postings(docs: DataFrame, sketch, k: int, percent: int) -> DataFrame:
     longs = pa.list_(pa.int64())
 
     def run(batches):
-        counts, seen, told = sketch.value, set(), set()
-        hot = 8 * float(counts.mean()) + 1000
+        (counts, hot), seen, told = sketch.value, set(), set()
         for _, sets in _sets_of(batches, k):
             tok, gh, at, kind, members = [], [], [], [], []
             for s in sets:
@@ -186,7 +192,8 @@ class JaccardJoin:
         self.rows = first.where("ck IS NOT NULL").select("doc_id", "n", "ck")
         own = first.where("n > 0 AND doc_id IS NOT NULL")
         self.classes = materialize(own.groupBy("ck").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), F.first("pins").alias("pins")), "classes")
-        self.sketch = spark.sparkContext.broadcast(_summed_sketch(first.where("block IS NOT NULL").select("block", "counts")))
+        self.sketch = spark.sparkContext.broadcast(_levels(_summed_sketch(first.where("block IS NOT NULL").select("block", "counts"))))
+        T.trim()
 
     def _post(self) -> None:
         """Fill `live` (tok, gh, n, pos), the postings that groups share, and `members` (gh, ck, n)."""

@@ -136,7 +136,7 @@ def fit_rows(rows: list[np.ndarray], labels: list[int]) -> Model:
     for i in np.flatnonzero(~held):
         count[y[i]][rows[i]] += 1
     r = np.log(count[1.0] / count[1.0].sum()) - np.log(count[-1.0] / count[-1.0].sum())
-    fit = [(rows[i], r[rows[i]] / max(float(np.sqrt((r[rows[i]] ** 2).sum())), 1e-6)) for i in np.flatnonzero(~held)]
+    fit = [(rows[i], (r[rows[i]] / max(float(np.sqrt((r[rows[i]] ** 2).sum())), 1e-6)).astype(np.float32)) for i in np.flatnonzero(~held)]
     yf = y[~held]
     cost = np.full(len(yf), COST)
     w = dual_coordinate_descent(fit, yf, cost, SIZE)
@@ -162,11 +162,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
             for lo, hi in T.chunks(off):
                 rows = [np.sort(x).astype(np.int32).tobytes() for x in indicators(raw, off[lo : hi + 1])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
+        T.trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = picked.mapInArrow(run, f"doc_id {kind}, label int, x binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (hash_order(r["doc_id"]), r["x"]))
-    return fit_rows([np.frombuffer(r["x"], np.int32) for r in got], [r["label"] for r in got])
+    got = picked.mapInArrow(run, f"doc_id {kind}, label int, x binary").toArrow()
+    ids, known, x = got.column("doc_id").to_pylist(), got.column("label").to_pylist(), got.column("x").to_pylist()
+    del got
+    order = sorted(range(len(ids)), key=lambda i: (hash_order(ids[i]), x[i]))
+    model = fit_rows([np.frombuffer(x[i], np.int32) for i in order], [known[i] for i in order])
+    del x
+    T.trim()
+    return model
 
 
 def hash_order(x) -> int:
@@ -185,6 +191,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             raw, off = T.texts(b, "text")
             for lo, hi in T.chunks(off):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([m.score(x) for x in indicators(raw, off[lo : hi + 1])], pa.float64())], names=["k", "score"])
+        T.trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("k"), docs[text_col].alias("text")).mapInArrow(run, f"k {kind}, score double").withColumnRenamed("k", id_col)
@@ -202,5 +209,6 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
             raw, off = T.texts(pa.RecordBatch.from_arrays([b.column(at)], names=["text"]), "text")
             good = [m.score(x) >= threshold for lo, hi in T.chunks(off) for x in indicators(raw, off[lo : hi + 1])]
             yield b.filter(pa.array(good, pa.bool_()))
+        T.trim()
 
     return docs.mapInArrow(run, docs.schema)

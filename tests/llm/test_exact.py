@@ -194,9 +194,9 @@ def test_token_tables(spark, odd, nothing):
     tok = Tokenizer.from_file(JSON)
     docs = odd.unionByName(table(spark, [(1000 - i, f"it's text  {i} \n of  words, and more " * (i % 9), "en") for i in range(300)]))
     folder = sstable.write(docs, JSON, shard_chars=20_000)
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None), key=lambda x: x)
+    rows = sorted((r.doc_id, r.h, r.text or "") for r in docs.withColumn("h", F.xxhash64("text")).collect() if r.doc_id is not None)
     want, start = [], 0
-    for i, t in rows:
+    for i, _, t in rows:
         ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
         want.append((i, start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
         start += len(ids)
@@ -207,6 +207,37 @@ def test_token_tables(spark, odd, nothing):
     with pytest.raises(Exception):  # noqa: B017  a manifest is never replaced
         sstable.write(docs.limit(1), JSON, folder=folder)
     assert sstable.read(spark, sstable.write(nothing, JSON)).count() == 0
+    # one id with most rows goes over several shards
+    hot = sstable.write(table(spark, [(i % 9 and 4, f"text {i}", "en") for i in range(400)]).drop("lang"), JSON, shard_chars=500)
+    assert len(sstable.manifest(hot)) > 3 and len(sstable.lookup(hot, 4)) == 355 and len(sstable.lookup(hot, 0)) == 45
+    named = table(spark, [(1, "a", "en")]).select(F.lit("no number").alias("doc_id"), "text").unionByName(table(spark, [(7, "b", "en")]).select(F.lit("7").alias("doc_id"), "text"))
+    assert [r.doc_id for r in sstable.read(spark, sstable.write(named, JSON)).collect()] == [7]
+
+
+def test_encoder_equals_the_library(monkeypatch):
+    """Texts of all kinds of characters around the cuts, added tokens among them; and a cache that is always full."""
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from loomtext.llm import _text as T
+
+    r = random.Random(3)
+    parts = ["a", "b", "é", "ß", "я", "中", "😀", "'", "'s", "'ll", "don't", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2003", "1", "2", "²", "½", "_", "-", "!", "...", "<|endoftext|>", "<|", "\x1c", "\x85", "\u0301", "Ω", "𝒳", "\x00", "\x7f", "\u200b", "ﬁ", "٣", "x" * 80]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(4000)] + ["a <|endoftext|> b"]
+    want = [e.ids for e in Tokenizer.from_file(JSON).encode_batch(texts, add_special_tokens=False)]
+    raw, off = T.texts(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), "text")
+    for kept in (sstable.KEPT_BYTES, 0):
+        monkeypatch.setattr(sstable, "KEPT_BYTES", kept)
+        encode = sstable.Encoder(JSON)
+        for _ in range(2):
+            ids, at = encode(raw, off)
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+    assert 50256 in want[-1]
+    other = sstable.Encoder(public_tokenizers.path("word_bpe_49k.json"))  # not cut: it lower-cases and drops white space
+    ids, at = other(raw[: off[50]], off[:51])
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [e.ids for e in Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode_batch(texts[:50], add_special_tokens=False)]
+    assert np.array_equal(encode(raw[:0], off[:1])[0], [])
 
 
 def test_sharding(spark, odd, nothing):
@@ -222,9 +253,59 @@ def test_sharding(spark, odd, nothing):
     keys = lambda d: sorted((repr(tuple(r)) for r in d.select("doc_id", "text", "n_chars", "row", "w").collect()))
     want = sorted(repr((i, t, n, "r", 1)) for n in range(6) for i, t, _ in ODD)
     assert keys(s.read()) == want and keys(s.read(6)) == want  # an old version reads as it was
-    assert s.vacuum() > 0 and keys(s.read()) == want
-    with pytest.raises(RuntimeError):
-        s._commit(v - 1, [])
+    assert s.vacuum() == 0  # what is young may belong to an open writer
+    assert s.vacuum(age=-5) > 0 and keys(s.read()) == want
+    with pytest.raises(FileNotFoundError):
+        s.read(99)
+
+
+def test_commits_of_several_writers(spark, odd):
+    a = sharding.ShardSet(spark, target_bytes=1 << 16)
+    b = sharding.ShardSet(spark, a.folder, target_bytes=1 << 16)
+    a.append(odd)
+    # b commits between a's look at the version and its commit: a tries again and both arrivals are there
+    change, calls = sharding.ShardSet._put, []
+
+    def slow(self, m):
+        if not calls:
+            calls.append(1)
+            b.append(odd)
+        return change(self, m)
+
+    a._put = slow.__get__(a)
+    assert a.append(odd) == 3 and a.read().count() == 3 * len(ODD)
+    # a merge whose shards another writer merged first is given up
+    del a._put
+    a.append(odd)
+    tier = a._tiers(a.shards())[0]
+    b.compact()
+    a._merge(tier)
+    assert a.read().count() == 4 * len(ODD)
+    # files of an open writer survive a vacuum; a commit whose files are gone fails
+    odd.write.parquet(f"{a.folder}/data/{'0' * 16}")
+    a.vacuum()
+    a._added("data/" + "0" * 16, odd.schema)
+    assert a.read().count() == 5 * len(ODD)
+    with pytest.raises(FileNotFoundError, match="gone"):
+        a._commit(lambda now: ([*now.shards, sharding.Shard("data/none.parquet", 1, 1)], now.schema))
+
+
+def test_shards_with_other_columns(spark, odd):
+    s = sharding.ShardSet(spark)
+    s.append(odd.select("doc_id", "text"))
+    s.append(odd.select("doc_id", "text", "lang", F.lit("x").alias("shard"), F.lit(2).alias("file")))
+    s.append(odd.select(F.col("doc_id").alias("DOC_ID"), F.lit(3).alias("shard_2")))
+    with pytest.raises(ValueError):
+        s.append(odd.select(F.lit("text").alias("doc_id")))
+    got = s.read()
+    assert got.columns == ["doc_id", "text", "lang", "shard", "file", "shard_2", "shard_3"]
+    rows = [(r.doc_id, r.text, r.lang, r.shard, r.file, r.shard_2) for r in got.collect()]
+    want = [x for i, t, lang in ODD for x in ((i, t, None, None, None, None), (i, t, lang, "x", 2, None), (i, None, None, None, None, 3))]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
+    assert s.read(1).columns == ["doc_id", "text", "shard"]
+    empty = sharding.ShardSet(spark)
+    empty.append_arrivals(odd.limit(0).withColumn("arrival", F.lit(1)), "arrival")
+    assert empty.version() == 0
 
 
 @pytest.mark.parametrize("target, compacted", [(1 << 26, False), (1, True)])
