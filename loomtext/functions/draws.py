@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 RANGE = 1 << 32
 
 
-def draw(key: Column, site: str, seed: int = 42) -> Column:
+def draw(key: Column, site: str | Column, seed: int = 42) -> Column:
     """A whole number in [0, 2**32)."""
-    text = F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(f":{site}"))
+    text = F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(f":{site}") if isinstance(site, str) else F.concat(F.lit(":"), site))
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
 
 

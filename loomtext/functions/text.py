@@ -97,10 +97,10 @@ def strip_fences(c: Column) -> Column:
 
 
 def after_marker(c: Column, *markers: str) -> Column:
-    """The text behind the first marker it contains, stripped; without any, the stripped text."""
+    """What stands between a marker and its next occurrence or the end, stripped, by the first of the markers that is there; without any, the stripped text."""
     out = strip(c)
     for m in reversed(markers):
-        out = F.when(F.contains(c, F.lit(m)), strip(F.substring_index(c, m, -1))).otherwise(out)
+        out = F.when(F.contains(c, F.lit(m)), strip(F.split_part(c, F.lit(m), F.lit(2)))).otherwise(out)
     return out
 
 

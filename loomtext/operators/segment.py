@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import mask_text, strip
+from ..functions.text import mask_text, strip, unmask_text
 
 LIMIT = 512
 _SENTENCE = re.compile(r"(?<=\.)\s+")
@@ -21,26 +21,26 @@ _SEQUENCES = "array<struct<seq:string,terminator:string,idx:int,start:int>>"
 
 
 def halves_by_line(df: DataFrame, key: str, text: str, limit: int = LIMIT) -> DataFrame:
-    """(key, idx, seq): texts halved by lines until below the limit or down to one line; a recursive query.
+    """(key, idx, seq): texts halved by lines until below the limit or down to one line.
 
-    Only texts at or above the limit go through the recursion.
+    Halving needs no other row, so there is no shuffle; texts below the limit never reach Python.
     """
-    d = df.select(F.col(key).alias("k"), F.split(F.coalesce(text, F.lit("")), "\n").alias("ls"))
-    d.createOrReplaceTempView("__lines")
-    long = "length(array_join(ls, '\n')) >= " + str(limit) + " AND size(ls) > 1"
-    rec = df.sparkSession.sql(
-        f"""WITH RECURSIVE r(k, ls, path) AS (
-          SELECT k, ls, '' FROM __lines WHERE {long}
-          UNION ALL
-          SELECT k, h.part, concat(path, h.side)
-          FROM r, LATERAL explode(array(struct(slice(ls, 1, CAST(size(ls) DIV 2 AS INT)) AS part, '0' AS side),
-                                        struct(slice(ls, CAST(size(ls) DIV 2 AS INT) + 1, size(ls)) AS part, '1' AS side))) t(h)
-          WHERE {long})
-        SELECT k, path, array_join(ls, '\n') AS seq FROM r WHERE NOT ({long})
-        UNION ALL SELECT k, '', array_join(ls, '\n') FROM __lines WHERE NOT ({long})"""
-    )
-    out = rec.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("path", "seq"))).alias("x"))
-    return out.select(F.col("k").alias(key), F.posexplode("x").alias("idx", "p")).select(key, "idx", F.col("p.seq").alias("seq"))
+
+    def parts(ls: list[str]) -> list[str]:
+        whole = "\n".join(ls)
+        if len(whole) < limit or len(ls) < 2:
+            return [whole]
+        m = len(ls) // 2
+        return parts(ls[:m]) + parts(ls[m:])
+
+    @F.pandas_udf("array<string>")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: parts(t.split("\n")), na_action="ignore")
+
+    t = F.coalesce(F.col(text), F.lit(""))
+    is_long = (F.length(t) >= limit) & F.contains(t, F.lit("\n"))
+    d = df.select(F.col(key), F.when(is_long, cut(F.when(is_long, t))).otherwise(F.array(t)).alias("__parts"))
+    return d.select(key, F.posexplode_outer("__parts").alias("idx", "seq"))
 
 
 def _halved(part: str, limit: int, cuts: re.Pattern) -> list[str]:
@@ -58,9 +58,9 @@ _LINE = re.compile(r"\n")
 
 def _masked_cuts(part: str) -> list[int]:
     """Where sentences end: white space behind a dot that masking leaves alone."""
-    masked, at, out = mask_text(part), 0, []
+    masked, at, seen, out = mask_text(part), 0, 0, []
     for m in _SENTENCE.finditer(masked):
-        at = len(re.sub(r"_(?:URL|FLOAT|VERSION|REF|ORG|TITLE|ABBR)_DOT_", ".", masked[: m.end()]))
+        at, seen = at + len(unmask_text(masked[seen : m.end()])), m.end()
         if at < len(part):
             out.append(at)
     return out

@@ -32,11 +32,11 @@ def cut_top(df: DataFrame, *by: str, rank: str = "rank") -> DataFrame:
     return df.withColumn("__n", n).where((F.col("__n") <= 3) | (F.col(rank) <= F.floor(F.col("__n") * 2 / 3))).drop("__n")
 
 
-def draw_attributes(df: DataFrame, n: str, *by: str, key: str = "record_id", site: str = "attr", mode: str = "observed", seed: int = 42, most: int = 16) -> DataFrame:
+def draw_attributes(df: DataFrame, n: str, *by: str, key: str = "record_id", site: str = "attr", mode: str = "observed", seed: int = 42) -> DataFrame:
     """n draws from each group, as distinct rows.
 
     "observed": each draw uniform, with replacement, so fewer than n rows may come back. "weighted": without
-    replacement, by `weight`, as the ranks intend. At most `most` draws a group.
+    replacement, by `weight`, as the ranks intend.
     """
     w = Window.partitionBy(*by)
     if mode == "weighted":
@@ -44,7 +44,8 @@ def draw_attributes(df: DataFrame, n: str, *by: str, key: str = "record_id", sit
         order = -F.log(F.greatest(u, F.lit(1e-12))) / F.col("weight")
         return df.withColumn("__r", F.row_number().over(w.orderBy(order, "attr_type"))).where(F.col("__r") <= F.col(n)).drop("__r")
     numbered = df.withColumn("__i", F.row_number().over(w.orderBy("ordinal", "attr_type")) - 1).withColumn("__n", F.count("*").over(w))
-    picks = F.array(*(F.when(F.lit(j) < F.col(n), draws.draw(F.col(key), f"{site}:{j}", seed) % F.col("__n")) for j in range(most)))
+    each = F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    picks = F.transform(each, lambda j: draws.draw(F.col(key), F.concat(F.lit(f"{site}:"), j.cast("string")), seed) % F.col("__n"))
     return numbered.where(F.array_contains(picks, F.col("__i").cast("long"))).drop("__i", "__n")
 
 

@@ -89,15 +89,17 @@ def strategies(found: DataFrame, sequences: DataFrame, model: Callable[[], Model
     return asked.select("record_id", "attr_type", "attr_value", "sanitization", F.when(F.col("sanitization") == "abstract", after_marker(F.col("__a"), "Instruction:")).otherwise(reshape.drop_sentence(label)).alias("strategy"))
 
 
-def rewrite(sequences: DataFrame, found: DataFrame, plans: DataFrame, model: Callable[[], Model], most: int = 64) -> DataFrame:
+def rewrite(sequences: DataFrame, found: DataFrame, plans: DataFrame, model: Callable[[], Model]) -> DataFrame:
     """Sequences rewritten, one target after another: each rewrite starts from the text that the one before left.
 
-    As many rounds as the sequence with most targets has, at most `most`; a sequence without a target in a round passes it.
+    As many rounds as the sequence with most targets has; a sequence without a target in a round passes it. Each round is
+    written out, so many rounds don't make one long plan.
     """
     work = found.groupBy("record_id", "idx", "attr_type").agg(F.array_join(spans.first_seen("start", "span"), "; ").alias("texts")).join(plans, ["record_id", "attr_type"])
     order = F.row_number().over(Window.partitionBy("record_id", "idx").orderBy("attr_type"))
     work = work.withColumn("round", order)
-    rounds = min(work.agg(F.coalesce(F.max("round"), F.lit(0))).first()[0], most)
+    work = materialized(work, "work")
+    rounds = work.agg(F.coalesce(F.max("round"), F.lit(0))).first()[0]
     cur = sequences
     for i in range(1, rounds + 1):
         step = work.where(F.col("round") == i).select("record_id", "idx", "texts", "strategy", "sanitization", "attr_value")
@@ -105,7 +107,7 @@ def rewrite(sequences: DataFrame, found: DataFrame, plans: DataFrame, model: Cal
         prompt = F.when(F.col("sanitization") == "drop", reshape.fill(DROP, F.col("attr_value"), F.col("texts"), F.col("seq"))).when(F.col("sanitization").isNotNull(), reshape.fill(ABSTRACT, F.col("strategy"), F.col("texts"), F.col("seq")))
         j = complete(j.withColumn("__p", prompt), "__p", "__new", model, clean=True)
         new = F.when(~failed(F.col("__new")), after_marker(F.col("__new"), "Sanitized Text:", "Sanitized text:", "sanitized text:"))
-        cur = j.withColumn("seq", F.coalesce(new, F.col("seq"))).select(*sequences.columns)
+        cur = materialized(j.withColumn("seq", F.coalesce(new, F.col("seq"))).select(*sequences.columns), "rewritten")
     return cur
 
 
@@ -144,12 +146,15 @@ def abstract_only(plans: DataFrame, model: Callable[[], Model]) -> DataFrame:
 
 
 def run(records: DataFrame, attrs: DataFrame, model: Callable[[], Model], seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, mapping, errors) of records (record_id, text) and their attributes in long form."""
+    """(records, mapping, errors) of records (record_id, text) and their attributes in long form.
+
+    A record without targets comes back as it is, but for outer white space; one with an error is in errors only.
+    """
     cut = materialized(segment.explode_sequences(segment.segments(records, "text"), "record_id"), "sequences")
     targets = choose(attrs, seed)
     found, errors = find_spans(cut, targets, model)
     found, errors = materialized(found, "spans"), materialized(errors, "errors")
-    good = cut.join(found.select("record_id").distinct(), "record_id", "left_semi")
+    good = cut.join(errors.select("record_id").distinct(), "record_id", "left_anti")
     plans = strategies(found, good, model)
     new = materialized(restored(good, rewrite(good, found, plans, model)), "rewritten")
     mapping = spans.sequence_mapping(good, new, found.withColumnRenamed("sanitization", "option"), "record_id")

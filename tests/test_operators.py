@@ -110,10 +110,38 @@ def test_sanitize_plan(spark):
     attrs = spark.createDataFrame([("r1", None, "name", "Ann Lee", 0), ("r2", None, "name", "Bob", 0)], "record_id string, group_name string, attr_type string, attr_value string, ordinal int")
     new, mapping, errors = sanitize.run(docs, attrs, PatternModel)
     rows = {r.record_id: r.text for r in new.collect()}
-    if "r1" in rows:  # every copy of a sequence is rewritten
+    bad = {r.record_id for r in errors.collect()}
+    # every record is in exactly one of both
+    assert set(rows) | bad == {"r1", "r2"} and not set(rows) & bad and bad <= {"r2"}
+    chosen = sanitize.choose(attrs).where("record_id = 'r1' AND sanitization <> 'keep'").count()
+    if chosen:  # every copy of a sequence is rewritten
         assert "Ann Lee" not in rows["r1"] and "Nothing else." in rows["r1"]
         assert mapping.where("record_id = 'r1'").count() == 2
-    assert {r.record_id for r in errors.collect()} <= {"r2"}
+    else:
+        assert rows["r1"] == text
+
+
+def test_no_target_of_a_sequence_is_left(spark):
+    """70 targets in one sequence: all are rewritten; a record without targets comes back as it is."""
+    from loomtext.operators import segment
+    from loomtext.storage import materialized
+
+    names = [f"Name{i:02d}x" for i in range(70)]
+    cut = materialized(segment.explode_sequences(segment.segments(spark.createDataFrame([("r", " ".join(names))], "record_id string, text string"), "text", 10_000), "record_id"))
+    targets = spark.createDataFrame([("r", None, f"name_{i:02d}", n, i, "drop") for i, n in enumerate(names)], "record_id string, group_name string, attr_type string, attr_value string, ordinal int, sanitization string")
+    found, errors = sanitize.find_spans(cut, targets, PatternModel)
+    found = materialized(found)
+    assert errors.count() == 0 and found.count() == 70
+    new = sanitize.rewrite(cut, found, sanitize.strategies(found, cut, PatternModel), PatternModel)
+    assert not any(n in new.first().seq for n in names)
+    docs = spark.createDataFrame([("p", "no one here")], "record_id string, text string")
+    none = spark.createDataFrame([], "record_id string, group_name string, attr_type string, attr_value string, ordinal int")
+    assert [tuple(r) for r in sanitize.run(docs, none, PatternModel)[0].collect()] == [("p", "no one here")]
+
+
+def test_draws_beyond_sixteen(spark):
+    d = spark.createDataFrame([("r", f"t{i:03d}", i) for i in range(400)], "record_id string, attr_type string, ordinal int").withColumn("n", F.lit(60))
+    assert 40 < select.draw_attributes(d, "n", "record_id").count() <= 60
 
 
 def test_generate_plan(spark):
