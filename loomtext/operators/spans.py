@@ -14,30 +14,36 @@ PII = {
 }
 
 
-def _cut(text: Column, pattern: str) -> Column:
-    """Spans of a pattern: array<struct<start, end, span>>, from the texts between the matches, so no match is searched again."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    between = F.split(text, pattern, -1)
+def _located(found: str, between: str, name: str) -> Column:
+    """array<struct<attr_type, start, end, span>> from a pattern's matches and the texts between them, so no match is searched again."""
+    f, b = F.col(found), F.col(between)
+    none = F.array().cast("array<struct<attr_type:string,start:int,end:int,span:string>>")
     at = F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,span:string>>").alias("out")),
+        F.sequence(F.lit(0), F.size(f) - 1),
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
         lambda s, i: F.struct(
-            (s["at"] + F.length(F.get(between, i)) + F.length(F.get(found, i))).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + F.length(F.get(between, i))).alias("start"), (s["at"] + F.length(F.get(between, i)) + F.length(F.get(found, i))).alias("end"), F.get(found, i).alias("span")))).alias("out"),
+            (s["at"] + F.length(F.get(b, i)) + F.length(F.get(f, i))).alias("at"),
+            F.concat(s["out"], F.array(F.struct(F.lit(name).alias("attr_type"), (s["at"] + F.length(F.get(b, i))).alias("start"), (s["at"] + F.length(F.get(b, i)) + F.length(F.get(f, i))).alias("end"), F.get(f, i).alias("span")))).alias("out"),
         ),
         lambda s: s["out"],
     )
-    return F.when(F.size(found) > 0, at)
+    return F.when(F.size(f) > 0, at).otherwise(none)
 
 
 def pattern_spans(df: DataFrame, key: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
-    """(key, attr_type, start, end, span) of all pattern matches; 0-based, end exclusive."""
-    def named(name: str, pattern: str) -> Column:
-        return F.transform(_cut(F.col(text), pattern), lambda s: F.struct(F.lit(name).alias("attr_type"), s["start"].alias("start"), s["end"].alias("end"), s["span"].alias("span")))
-
-    arrays = [named(n, p) for n, p in (patterns or PII).items()]
-    none = F.array().cast("array<struct<attr_type:string,start:int,end:int,span:string>>")
-    return df.select(key, F.explode(F.concat(*(F.coalesce(a, none) for a in arrays))).alias("s")).select(key, "s.attr_type", "s.start", F.col("s.end").alias("end"), "s.span")
+    """(key, attr_type, start, end, span) of all pattern matches; 0-based, end exclusive.
+
+    Matches are columns of their own, mentioned more than once, so each pattern is searched once; the texts between
+    are split where there are matches only. explode() would have the optimizer compute its array again in a filter.
+    """
+    patterns = patterns or PII
+    d = df.select(F.col(key), F.col(text).alias("__t"))
+    for i, p in enumerate(patterns.values()):
+        d = d.withColumn(f"__f{i}", F.regexp_extract_all("__t", F.lit(f"({p})"), 1))
+    for i, p in enumerate(patterns.values()):
+        d = d.withColumn(f"__b{i}", F.when(F.size(f"__f{i}") > 0, F.split("__t", p, -1)))
+    all_spans = F.concat(*(_located(f"__f{i}", f"__b{i}", n) for i, n in enumerate(patterns)))
+    return d.select(key, F.explode_outer(all_spans).alias("s")).where("s IS NOT NULL").select(key, "s.attr_type", "s.start", F.col("s.end").alias("end"), "s.span")
 
 
 def valid_spans(df: DataFrame, difference: str = "difference", most: float = 5) -> DataFrame:
