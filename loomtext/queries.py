@@ -437,6 +437,74 @@ def sanitize_records(spark, d):
     return new.select("record_id", text.text_hash(F.col("text")).alias("sha"))
 
 
+_MADE = "CASE doc_id % 4 WHEN 0 THEN '..None.' WHEN 1 THEN 'DROP ' || lang WHEN 2 THEN 'please keep' ELSE text END"
+
+
+@query(
+    f"""SELECT doc_id, regexp_replace(lower(x), '^\\.+|\\.+$', '', 'g') = 'none' AS is_none,
+  CASE WHEN contains(lower(x), 'drop') THEN 'drop' WHEN contains(lower(x), 'keep') THEN 'keep' ELSE 'abstract' END AS class
+FROM (SELECT doc_id, {_MADE} AS x FROM documents)"""
+)
+def answer_classes(spark, d):
+    x = F.expr(_MADE)
+    return _t(spark, d, "documents").select("doc_id", text.is_none_answer(x).alias("is_none"), text.strategy_class(x).alias("class"))
+
+
+@query(
+    "SELECT doc_id, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS unfenced_sha256, lang AS after, source AS part FROM documents"
+)
+def unwrapped_answers(spark, d):
+    """Fences off; what stands behind a marker, up to its next occurrence, by the first marker that is there."""
+    fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```"))
+    marked = F.concat(F.lit("so Instruction: "), "lang", F.lit(" Instruction: more"))
+    second = F.concat(F.lit("Sanitized text: "), "source")
+    return _t(spark, d, "documents").select(
+        "doc_id",
+        text.text_hash(text.strip_fences(fenced)).alias("unfenced_sha256"),
+        text.after_marker(marked, "Instruction:").alias("after"),
+        text.after_marker(second, "Sanitized Text:", "Sanitized text:").alias("part"),
+    )
+
+
+@query("SELECT doc_id, 'labels' AS stage, 'fail' AS severity, 'no entry for ' || doc_id AS error FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def lookup_errors(spark, d):
+    known = _t(spark, d, "labels").select("doc_id", F.lit(1).alias("known")).distinct()
+    return select.lookup(_t(spark, d, "documents").select("doc_id"), known, "doc_id", "known", "labels")[1]
+
+
+@query(
+    """WITH g AS (SELECT conv_id, coalesce(len(list(text) FILTER (role = 'user')), 0) AS q, coalesce(len(list(text) FILTER (role = 'assistant')), 0) AS a FROM conversations GROUP BY conv_id)
+SELECT count(*) AS n_rows, sum(q)::BIGINT AS n_asked, sum(least(q, a))::BIGINT AS n_pairs FROM g"""
+)
+def turn_sums(spark, d):
+    c = _t(spark, d, "conversations")
+    of = lambda role: F.collect_list(F.when(F.col("role") == role, F.col("text")))
+    g = c.groupBy("conv_id").agg(of("user").alias("asked"), of("assistant").alias("answered"))
+    return stats.target_sums(g.withColumn("pairs", reshape.zip_shorter(F.col("asked"), F.col("answered"))), "asked", "pairs")
+
+
+@query("SELECT lang, round(sum(n_chars::DOUBLE * length(source)) / sum(length(source)), 6) AS confidence FROM documents GROUP BY lang")
+def weighted_confidence(spark, d):
+    return _t(spark, d, "documents").groupBy("lang").agg(F.round(spans.merged_confidence(F.col("n_chars").cast("double"), F.length("source")), 6).alias("confidence"))
+
+
+@query("SELECT c_custkey, c_name || ' ' || c_mktsegment AS full_name, 3::INT AS n_shared FROM customer")
+def full_names(spark, d):
+    """A full name from its parts; keys that are never shared are left out."""
+    m = F.create_map(F.lit("first_name"), F.col("c_name"), F.lit("last_name"), F.col("c_mktsegment"), F.lit("details"), F.col("c_name"))
+    full = reshape.shareable(reshape.add_full_name(m))
+    return _t(spark, d, "customer").select("c_custkey", full["full_name"].alias("full_name"), F.size(full).alias("n_shared"))
+
+
+@query(
+    "WITH RECURSIVE " + _SPANS.lstrip() + """
+SELECT doc_id, attr_type, array_to_string(list_sort(list(DISTINCT ("start" // 512)::INT)), ',') AS sequences FROM spans GROUP BY doc_id, attr_type"""
+)
+def attribute_sequences(spark, d):
+    s = spans.pattern_spans(_t(spark, d, "documents"), "doc_id", "text").withColumn("idx", F.expr("CAST(start DIV 512 AS INT)"))
+    return spans.sequences_by_attribute(s, "doc_id").withColumn("sequences", F.array_join(F.col("sequences").cast("array<string>"), ","))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
