@@ -36,3 +36,15 @@ def test_pipeline(spark):
     last = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in docs.collect()}
     assert last.where("NOT lossless").count() == 0
+
+
+def test_a_long_text_with_one_passage_is_dropped(spark):
+    """13 benchmark words at the end of 5,000 others: not `contaminated` by share, but gone from the pipeline."""
+    from loomtext.llm import decontam
+
+    item = " ".join(f"secret{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, " ".join(f"w{i % 700}" for i in range(5000)) + " " + item), (2, "a clean text " * 40), (3, None)], "doc_id LONG, text STRING")
+    bench = spark.createDataFrame([("i1", item)], "item_id STRING, text STRING")
+    got = {r.doc_id: (r.n_hit, r.contaminated) for r in decontam.report(docs, bench).collect()}
+    assert got == {1: (13, False), 2: (0, False), 3: (0, False)}
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()) == [2, 3]
