@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomtext.llm import bpe, decontam, jaccard, quality, secrets
 from loomtext.llm._util import materialize
 
-#: Stage 1 fits models, which SQL can't express; the tests hold run() against brute force instead.
+#: Stage 1 fits a model, which SQL can't express; the tests hold the stages' operators against brute force, not run() as a whole.
 ORACLE_SQL = None
 
 
