@@ -9,11 +9,12 @@ A text's set is its distinct k-word shingles (64-bit hashes); two sets link when
 2. Texts with equal sets fall into one class. Every class is compared with one other class, the pivot that shares
    most pins with it and with others; pairs that hold are contracted into components.
 3. Classes with equal prefix and size fall into one group. A second pass posts the prefix shingles of groups, and
-   with them the groups' members, in one exchange; shingles that only one group posts are dropped in it.
+   with them the groups' members, in one exchange; shingles that only one group posts are dropped in it, and
+   postings that the length and position filters let meet no other one.
    Shingles that the sketch calls hot are kept unseen and dealt by group, so that no task gathers them.
 4. Of what remains open (shingles that groups of different components post) every group is compared with one other,
-   the pivot that shares most prefix shingles with it and with others. A family of thousands of copies is settled in
-   linear work here.
+   the pivot that shares most prefix shingles with it and with others, if the filters of step 5 let them link. A family
+   of thousands of copies is settled in linear work here. What is open is looked for among what was open before.
 5. What is open after that is joined under the length, position and signature filters; surviving group pairs expand
    to member classes and are verified.
 
@@ -171,6 +172,33 @@ def _postings(docs: DataFrame, sketch, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "tok long, gh long, np long, kind byte, sig array<long>")
 
 
+def _long(x: str, y: str, t: int) -> str:
+    """Whether sets of the sizes of x and y can link."""
+    return f"100 * least({x}n, {y}n) >= {t} * greatest({x}n, {y}n)"
+
+
+def _early(x: str, y: str, t: int) -> str:
+    """Whether postings x and y of one shingle can be the first shared ones of a linked pair: with what follows it in
+    either set, the first one holds the whole overlap."""
+    return f"{100 + t} * least({x}n - {x}pos, {y}n - {y}pos) >= {t} * ({x}n + {y}n)"
+
+
+def _alike(x: str, y: str, t: int) -> str:
+    """Whether sets with the signatures of x and y can link; true where one of them has none."""
+    bits = " + ".join(f"bit_count({x}sig[{i}] ^ {y}sig[{i}])" for i in range(SIGNATURE // 64))
+    return f"coalesce({100 + t} * ({bits}) <= {100 - t} * ({x}n + {y}n), true)"
+
+
+def _meeting(postings: DataFrame, percent: int) -> DataFrame:
+    """Without the postings of a shingle that can't be the first one of a link with any other posting of it: of two,
+    what the filters rule out; of more, what is too short or too long for the next in size on either side."""
+    own = Window.partitionBy("tok", "part", "kind")
+    order, post = own.orderBy("n", "gh"), F.struct("n", "pos")
+    beside = postings.withColumns({"low": F.lag(post).over(order), "high": F.lead(post).over(order), "df": F.count("*").over(own)})
+    meets = " OR ".join(f"{x} IS NOT NULL AND {_long('', f'{x}.', percent)} AND (df > 2 OR {_early('', f'{x}.', percent)})" for x in ("low", "high"))
+    return beside.where(f"kind > 0 OR {meets}").drop("low", "high", "df")
+
+
 def _named(comps: DataFrame) -> DataFrame:
     return comps.select(F.col("node").alias("ck"), "comp")
 
@@ -196,7 +224,7 @@ class JaccardJoin:
         T.trim()
 
     def _post(self) -> None:
-        """Fill `live` (tok, gh, n, pos), the postings that groups share, and `members` (gh, ck, n)."""
+        """Fill `live` (tok, gh, n, pos), the postings that groups share and can meet at, and `members` (gh, ck, n)."""
         post = _postings(self.docs, self.sketch, self.words, self.percent)
         # A hot shingle is shared anyway: its rows are dealt by group, each on its own.
         post = post.withColumn("part", F.when(F.col("kind") == 1, F.col("gh")).otherwise(0))
@@ -204,7 +232,8 @@ class JaccardJoin:
         w = Window.partitionBy("tok", "part")
         several = F.min("gh").over(w) < F.max("gh").over(w)
         kept = post.withColumn("several", several).where("kind > 0 OR several").dropDuplicates(["tok", "part", "gh", "np", "kind"])
-        live = materialize(kept.selectExpr("tok", "gh", "np >> 32 AS n", "np & 4294967295 AS pos", "kind", "several", "sig"), "live")
+        kept = _meeting(kept.selectExpr("tok", "part", "gh", "np >> 32 AS n", "np & 4294967295 AS pos", "kind", "several", "sig"), self.percent)
+        live = materialize(kept.drop("part"), "live")
         self.live = live.where("kind < 2").select("tok", "gh", "n", "pos")
         self.members = live.where("kind = 2").select(F.col("tok").alias("gh"), F.col("gh").alias("ck"), "n", "several", "sig")
 
@@ -274,31 +303,27 @@ class JaccardJoin:
     def _prefix_pivots(self, opened: DataFrame, span: DataFrame, state: DataFrame, tried: DataFrame) -> DataFrame:
         """(u, v): for every group's first class that of the group it shares most prefix shingles with, of those whose
         shingles are shared most (of a family its original, or the copy least changed); and in a group of several
-        components every class with the first."""
+        components every class with the first. Without pairs that the filters rule out."""
+        t = self.percent
         weight = materialize(opened.groupBy("gh").agg(F.sum("df").alias("weight")), "weight")
-        heavy = join_sized(opened, weight, "gh").groupBy("tok").agg(F.max(F.struct("weight", "gh", "rep", "n", "lo", "hi")).alias("p"))
-        t = opened.join(heavy, "tok").where("gh <> p.gh AND NOT (lo = hi AND p.lo = p.hi AND lo = p.lo)").where(f"100 * least(n, p.n) >= {self.percent} * greatest(n, p.n)")
+        heavy = join_sized(opened, weight, "gh").groupBy("tok").agg(F.max(F.struct("weight", "gh", "rep", "n", "pos", "lo", "hi")).alias("p"))
+        met = opened.join(heavy, "tok").where("gh <> p.gh AND NOT (lo = hi AND p.lo = p.hi AND lo = p.lo)").where(f"{_long('', 'p.', t)} AND {_early('', 'p.', t)}")
         # A shared shingle that few groups have says most: copies of a copy share its changes.
-        t = t.groupBy(F.col("rep").alias("u"), F.col("p.rep").alias("v")).agg(F.sum((F.lit(1 << 30) / F.col("df")).cast("long")).alias("c"))
-        t = t.join(tried, ["u", "v"], "left_anti").groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
+        met = met.groupBy(F.col("rep").alias("u"), F.col("p.rep").alias("v")).agg(F.sum((F.lit(1 << 30) / F.col("df")).cast("long")).alias("c"))
+        met = met.join(tried, ["u", "v"], "left_anti").groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
         own = join_sized(state, span.where("lo <> hi").select("gh", "rep"), "gh").select(F.col("ck").alias("u"), F.col("rep").alias("v"))
-        return t.union(own).where("u <> v").distinct()
+        pairs = materialize(met.union(own).where("u <> v").distinct(), "pivots")
+        signed = lambda c: self.members.select(F.col("ck").alias(c), F.struct("n", "sig").alias(f"of_{c}"))
+        return join_sized(signed("v"), join_sized(signed("u"), pairs, "u"), "v").where(_alike("of_u.", "of_v.", t)).select("u", "v").distinct()
 
     def _near(self, live: DataFrame, members: DataFrame, apart: str = "true") -> DataFrame:
-        """(g, h): pairs of groups, g < h, that pass the length, position and signature filters.
-
-        The first shared shingle of a linked pair always passes the position filter: with what follows it in either
-        set it holds the whole overlap. Signatures are those of groups with one member.
-        """
+        """(g, h): pairs of groups, g < h, that pass the length, position and signature filters. Signatures are those of
+        groups with one member."""
         t = self.percent
         one = members.groupBy("gh").agg(F.min("ck").alias("a"), F.max("ck").alias("b"), F.first("sig").alias("sig"))
         live = join_sized(live, one.select("gh", F.when(F.col("a") == F.col("b"), F.col("sig")).alias("sig")), "gh")
         x, y = live.alias("x"), live.alias("y")
-        long = f"100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n)"
-        early = f"{100 + t} * least(x.n - x.pos, y.n - y.pos) >= {t} * (x.n + y.n)"
-        apart_bits = " + ".join(f"bit_count(x.sig[{i}] ^ y.sig[{i}])" for i in range(SIGNATURE // 64))
-        alike = f"coalesce({100 + t} * ({apart_bits}) <= {100 - t} * (x.n + y.n), true)"
-        j = x.join(y, (F.col("x.tok") == F.col("y.tok")) & F.expr(f"x.gh < y.gh AND {long} AND {early} AND {apart} AND {alike}"))
+        j = x.join(y, (F.col("x.tok") == F.col("y.tok")) & F.expr(f"x.gh < y.gh AND {_long('x.', 'y.', t)} AND {_early('x.', 'y.', t)} AND {apart} AND {_alike('x.', 'y.', t)}"))
         return j.select(F.col("x.gh").alias("g"), F.col("y.gh").alias("h")).distinct()
 
     def _expanded(self, pairs: DataFrame, members: DataFrame, where: str = "true") -> DataFrame:
@@ -326,10 +351,11 @@ class JaccardJoin:
         links = materialize(self._verified(tried), "links")
         comps = _named(connected(links))
         self._post()
+        live, done = self.live, []
         for last in (False, True):
             state = materialize(_with_comp(self.members, comps), "state")
             span = materialize(state.groupBy("gh", "n").agg(F.min("ck").alias("rep"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "span")
-            posted = join_sized(self.live, span.select("gh", "rep", "lo", "hi"), "gh")
+            posted = join_sized(live, span.select("gh", "rep", "lo", "hi"), "gh")
             bounds = posted.groupBy("tok").agg(F.min("lo").alias("low"), F.max("hi").alias("high"), F.count("*").alias("df")).where("low <> high")
             opened = materialize(posted.join(bounds.select("tok", "df"), "tok"), "open")
             if last:
@@ -344,8 +370,13 @@ class JaccardJoin:
             tried, links = tried.union(todo), links.union(found)
             if not found.isEmpty():
                 comps = _named(connected(links))
-            for t in (opened, span, state):
+            # Components only grow: a shingle that is settled now stays so.
+            live = opened.select("tok", "gh", "n", "pos")
+            done.append(opened)
+            for t in (span, state):
                 discard(t)
+        for t in done:
+            discard(t)
         return comps
 
     def labels(self) -> DataFrame:

@@ -74,6 +74,28 @@ def test_jaccard(spark, near):
     assert j.pairs().count() == links
 
 
+def test_jaccard_keeps_only_postings_that_can_meet(spark):
+    """Texts of shared passages, short and long, and copies of some: what sizes rule out is not carried on, all links are."""
+    r = random.Random(8)
+    pool, rows = [[f"w{r.randrange(10**6)}" for _ in range(12)] for _ in range(60)], []
+    for i in range(120):
+        w = [x for p in r.sample(pool, r.choice((1, 2, 3, 8, 20))) for x in p]
+        rows.append((2 * i, " ".join(w)))
+        w[r.randrange(len(w))] = "changed"
+        rows.append((2 * i + 1, " ".join(w if i % 4 == 0 else r.sample(w, len(w)))))
+    d = table(spark, [(i, t, "en") for i, t in rows]).repartition(4)
+    j = jaccard.JaccardJoin(d)
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in j.labels().collect()), key=repr) == _brute_components(rows)
+    sets = {frozenset(_shingles(t)) for _, t in rows}
+    assert j.pairs().count() == sum(100 * len(a & b) >= 75 * len(a | b) for a, b in itertools.combinations(sets, 2))
+    posted = {}
+    for x in j.live.collect():
+        posted.setdefault(x.tok, []).append((x.gh, x.n))
+    assert posted
+    for of in posted.values():
+        assert all(any(h != g and 100 * min(n, m) >= 75 * max(n, m) for h, m in of) for g, n in of)
+
+
 def test_jaccard_empty_and_dedup(spark, nothing, odd):
     assert jaccard.components(nothing).count() == 0
     kept = jaccard.deduplicate(odd)
