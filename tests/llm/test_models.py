@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,37 @@ def test_toxicity_equals_its_formulas(spark, monkeypatch, share, sent):
         assert got[i] == pytest.approx(difference(t), abs=1e-5), t
 
 
+def _rows_made(plan, node):
+    """Rows that the plan's nodes of a name have made, of a plan that has run."""
+    name = plan.nodeName()
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("pythonNumRowsReceived").value()] if name == node else []
+    return own + [n for p in below for n in _rows_made(p, node)]
+
+
+@pytest.mark.parametrize("history", [False, True])
+def test_toxicity_counts_in_the_task(spark, history):
+    """Every key is in every chunk of the texts; a task sends one block for all, and the counts are those of a dictionary."""
+    r = random.Random(4)
+    texts = [[f"{chr(97 + r.randrange(20))}{chr(97 + r.randrange(5))}" for _ in range(8000)] + ["zz"] * (i % 3) for i in range(120)]
+    rows = [(" ".join(w), i % 4) for i, w in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "text STRING, kind BYTE").repartition(2).persist()
+    hashes = {}
+    for w in sorted({x for t in texts for x in t}):
+        off = np.array([0, 2 * len(w) + 1])
+        _, before, pair, _ = toxicity.bigrams(np.frombuffer(f"{w} {w}".encode(), np.uint8), off)
+        hashes[w] = int(before[1]) if history else int(pair[1])
+    want = {}
+    for i, t in enumerate(texts):
+        for a, b in {(a, b) for a, b in zip(t, t[1:], strict=False) if history or a == b}:
+            want.setdefault(hashes[a], [0] * 4)[i % 4] += 1
+    out = toxicity._text_counts(docs, spark.createDataFrame([(k,) for k in hashes.values()], "key LONG"), history)
+    assert {x.key: [x.n0, x.n1, x.n2, x.n3] for x in out.collect()} == want
+    made = _rows_made(out._jdf.queryExecution().executedPlan(), "MapInArrow")
+    assert len(hashes) > 90 and min(made) <= 2 and sum(made) <= len(hashes) + 2
+    docs.unpersist()
+
+
 def test_toxicity_keeps_words_apart(spark, corpus, monkeypatch):
     """A word that shares the first 21 hash bits with a toxic one, and slices of the words that are sent."""
     import numpy as np
