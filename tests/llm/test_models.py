@@ -111,6 +111,38 @@ def test_quality_indicators_and_ratios():
     assert loss(w) <= best + 1e-2
 
 
+def test_quality_rows_as_steps():
+    """Steps lose no bucket, however wide; a fit on them is the fit on plain rows, and holds no further copy of its rows."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    plain = [np.zeros(0, np.int64), np.array([0]), np.array([0, 1, quality.SIZE - 1]), np.array([65534]), np.array([65535, 131070]), np.array([131071, 2 * 65535 + 65536])]
+    for x in plain:
+        assert quality.Unfolded([quality.steps(x)])[0].tolist() == x.tolist()
+    rows = [np.unique(r.integers(0, quality.SIZE, 20_000)).astype(np.int32) for _ in range(1_000)]
+    y = [i % 2 for i in range(len(rows))]
+    folded = quality.Unfolded([quality.steps(x) for x in rows])
+    assert all((a == b).all() for a, b in zip(rows, folded, strict=True))
+    m = quality.fit_rows(plain + rows[:200], [0, 1, 0, 1, 0, 1] + y[:200])
+    n = quality.fit_rows(quality.Unfolded([quality.steps(x) for x in plain + rows[:200]]), [0, 1, 0, 1, 0, 1] + y[:200])
+    assert (m.weight == n.weight).all() and (m.square == n.square).all() and (m.bias, m.slope, m.shift) == (n.bias, n.slope, n.shift)
+    tracemalloc.start()
+    quality.fit_rows(folded, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * sum(map(len, rows))
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """After every table that is written out; where the JVM has no such command, nothing fails."""
+    from loomtext.llm import _util
+
+    told = []
+    assert _util.trim_driver(spark) in (True, False)
+    monkeypatch.setattr(_util, "trim_driver", lambda s: told.append(s))
+    assert _util.materialize(spark.range(3), "three").count() == 3 and len(told) == 1
+
+
 def test_toxicity(spark, corpus, odd, nothing, labels):
     docs, known = corpus
     held = F.col("doc_id") % 5 == 0
