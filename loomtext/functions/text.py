@@ -153,16 +153,21 @@ def unmask_dots(c: Column) -> Column:
 # Span location: exact, then without quotes, then without marks; 0-based, end exclusive.
 
 
+def lowered(c: Column) -> Column:
+    """Small letters, one for each letter, so that places stay: lower() makes two of a dotted capital I and ends words in another sigma."""
+    return F.lower(F.replace(F.replace(c, F.lit("\u0130"), F.lit("i")), F.lit("\u03a3"), F.lit("\u03c3")))
+
+
 def locate_span(seq: Column, found: Column, attr: Column) -> Column:
     """struct(start, end, span, confidence) of an answer in a sequence; null where it can't be found.
 
     1.0: the answer as it is, letters in either case; 0.95: stripped of quotes; 0.9: without * " and dots;
     0.3: for an answer starting with "none", the attribute value itself.
     """
-    low = F.lower(seq)
+    low = lowered(seq)
 
     def position(part: Column, confidence: float) -> Column:
-        p = F.lower(part)
+        p = lowered(part)
         i = F.position(p, low)
         return F.when((p != "") & (i > 0), F.struct((i - 1).cast("int").alias("start"), (i - 1 + F.length(p)).cast("int").alias("end"), seq.substr(i, F.length(p)).alias("span"), F.lit(confidence).alias("confidence")))
 

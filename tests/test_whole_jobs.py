@@ -39,6 +39,18 @@ def test_list_parse_has_every_document(spark, tmp_path):
     assert sorted(map(tuple, rows)) == want
 
 
+def test_locate_spans_equals_its_sql_on_short_texts_and_odd_letters(spark, tmp_path):
+    import duckdb
+
+    texts = ["", "a", "ab", "  ", "abc", None, "xx\u0130stanbul and more", "\u0130\u0130abcdefghijklmnop", "ab" + "\u039f\u0394\u039f\u03a3" * 4, "xx none", "xx\"'\"", "ab***..."]
+    d = tables(spark, tmp_path, list(enumerate(texts)))
+    rows = records.queries()["locate_spans"](spark, d).collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    want = c.sql(records.oracle_sql()["locate_spans"]).fetchall()
+    assert sorted(map(tuple, rows)) == sorted(want) and len(want) == len(texts) - 1
+
+
 def test_sanitize_records_can_reach_every_value(spark, tmp_path, monkeypatch):
     from loomtext.plans import sanitize
 
