@@ -8,9 +8,11 @@ cut becomes the sequence's terminator or stays with it), so rebuild(segment(x))
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mask_text, strip, unmask_text
@@ -18,6 +20,33 @@ from ..functions.text import mask_text, strip, unmask_text
 LIMIT = 512
 _SENTENCE = re.compile(r"(?<=\.)\s+")
 _SEQUENCES = "array<struct<seq:string,terminator:string,idx:int,start:int>>"
+_FIELDS = pa.struct([("seq", pa.string()), ("terminator", pa.string()), ("idx", pa.int32()), ("start", pa.int32())])
+#: Bytes of text that are Python objects at once; a longer text is taken alone.
+AT_ONCE = 1 << 19
+
+
+def runs(texts: pa.Array, most: int = AT_ONCE) -> Iterator[pa.Array]:
+    """A batch in order, in runs of so many bytes at most or of one text."""
+    lo, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > lo and held + n > most:
+            yield texts.slice(lo, i - lo)
+            lo, held = i, 0
+        held += n
+    yield texts.slice(lo)
+
+
+def _lists(cut: Callable[[str], list], returns: str, kind: pa.DataType) -> Callable[[Column], Column]:
+    """A function of a column of texts that gives a list for each. Lists leave by runs, so a task's memory is that of
+    one Arrow batch and one run, however many rows and whatever texts it has."""
+
+    @F.arrow_udf(returns)
+    def lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for run in runs(batch):
+                yield pa.array([None if t is None else cut(t) for t in run.to_pylist()], pa.list_(kind))
+
+    return lists
 
 
 def halves_by_line(df: DataFrame, key: str, text: str, limit: int = LIMIT) -> DataFrame:
@@ -33,10 +62,7 @@ def halves_by_line(df: DataFrame, key: str, text: str, limit: int = LIMIT) -> Da
         m = len(ls) // 2
         return parts(ls[:m]) + parts(ls[m:])
 
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: parts(t.split("\n")), na_action="ignore")
-
+    cut = _lists(lambda t: parts(t.split("\n")), "array<string>", pa.string())
     t = F.coalesce(F.col(text), F.lit(""))
     is_long = (F.length(t) >= limit) & F.contains(t, F.lit("\n"))
     d = df.select(F.col(key), F.when(is_long, cut(F.when(is_long, t))).otherwise(F.array(t)).alias("__parts"))
@@ -58,6 +84,8 @@ _LINE = re.compile(r"\n")
 
 def _masked_cuts(part: str) -> list[int]:
     """Where sentences end: white space behind a dot that masking leaves alone."""
+    if "." not in part:
+        return []
     masked, at, seen, out = mask_text(part), 0, 0, []
     for m in _SENTENCE.finditer(masked):
         at, seen = at + len(unmask_text(masked[seen : m.end()])), m.end()
@@ -104,10 +132,7 @@ def segment_text(text: str | None, limit: int = LIMIT) -> list[dict]:
 def segments(df: DataFrame, text: str, limit: int = LIMIT, out: str = "sequences") -> DataFrame:
     """Add the array of sequences of a text; texts of one short piece never reach Python."""
 
-    @F.pandas_udf(_SEQUENCES)
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: segment_text(t, limit), na_action="ignore")
-
+    cut = _lists(lambda t: segment_text(t, limit), _SEQUENCES, _FIELDS)
     t = F.coalesce(F.col(text), F.lit(""))
     pieces = F.split(t, "\n\n")
     plain = F.transform(
@@ -130,4 +155,5 @@ def rebuild(sequences, seq: str = "seq"):
 
 
 def explode_sequences(df: DataFrame, key: str, sequences: str = "sequences") -> DataFrame:
-    return df.select(key, F.explode(sequences).alias("s")).select(key, "s.idx", "s.seq", "s.terminator", "s.start")
+    """One row a sequence. explode() would have the optimizer cut all texts once more, to filter out those without any."""
+    return df.select(key, F.explode_outer(sequences).alias("s")).where("s IS NOT NULL").select(key, "s.idx", "s.seq", "s.terminator", "s.start")

@@ -51,6 +51,22 @@ def test_locate_spans_equals_its_sql_on_short_texts_and_odd_letters(spark, tmp_p
     assert sorted(map(tuple, rows)) == sorted(want) and len(want) == len(texts) - 1
 
 
+def test_sentence_segments_cuts_each_text_once_and_in_runs(spark, tmp_path):
+    import pyarrow as pa
+
+    from loomtext.operators import segment
+
+    texts = ["", None, "short", "one. " * 300, "line of text\n" * 200, "x" * 3_000, "p. q " * 200 + "\n\n" + "z\n" * 600, "a\n\nb"] + [f"{i}. " * 400 for i in range(50)]
+    d = tables(spark, tmp_path, list(enumerate(texts)))
+    df = records.queries()["sentence_segments"](spark, d)
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = [(i, r["idx"], r["seq"], r["terminator"], r["start"]) for i, t in enumerate(texts) for r in segment.segment_text(t)]
+    assert sorted(map(tuple, df.collect())) == want
+    sizes = [[len(t or "") for t in run.to_pylist()] for run in segment.runs(pa.array(texts), 5_000)]
+    assert sum(sizes, []) == [len(t or "") for t in texts] and all(sum(x) <= 5_000 or len(x) == 1 for x in sizes)
+    assert sum(map(len, segment.runs(pa.array([], pa.string())))) == 0
+
+
 def test_sanitize_records_can_reach_every_value(spark, tmp_path, monkeypatch):
     from loomtext.plans import sanitize
 
