@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -67,11 +70,44 @@ def backoff_seconds(attempt: int) -> int:
     return min(2**attempt + 1, 60)
 
 
+@lru_cache(1024)
+def _searched(b: str) -> list[str]:
+    """What difflib searches of a text: from 200 letters on, only what stands between letters that are more than a hundredth of it."""
+    common = {c for c, n in Counter(b).items() if n > len(b) // 100 + 1} if len(b) >= 200 else set()
+    return ["".join(g) for kept, g in groupby(b, lambda c: c not in common) if kept]
+
+
+def longest_match(a: str, b: str) -> int:
+    """The size of difflib's longest match, by searches for whole strings, at most two for each letter of b that counts.
+
+    Among matches of the letters that count, difflib takes the first in a, then the first in b, and extends it by all letters.
+    """
+    pieces, k = _searched(b), 0
+    for p in pieces:
+        lo = 0
+        while lo + k < len(p):
+            if p[lo : lo + k + 1] in a:
+                k += 1
+            else:
+                lo += 1
+    if len(b) < 200:
+        return k
+    i = j = 0
+    if k:
+        i = min(x for c in {p[n : n + k] for p in pieces for n in range(len(p) - k + 1)} if (x := a.find(c)) >= 0)
+        j = b.find(a[i : i + k])
+    while i and j and a[i - 1] == b[j - 1]:
+        i, j, k = i - 1, j - 1, k + 1
+    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+        k += 1
+    return k
+
+
 def text_difference_of(a: str | None, b: str | None) -> float:
     a, b = (a or "").strip().lower(), (b or "").strip().lower()
     if not a or not b:
         return 0.0
-    return float(max(len(a), len(b)) - difflib.SequenceMatcher(None, a, b).find_longest_match(0, len(a), 0, len(b)).size)
+    return float(max(len(a), len(b)) - longest_match(a, b))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -57,6 +57,28 @@ def test_difference(a, b, d):
     assert scores.text_difference_of(a, b) == d
 
 
+def test_longest_match_is_difflibs_and_quicker():
+    import difflib
+    import random
+    import time
+
+    r = random.Random(7)
+    words = ["the", "of", "a", "quick", "zebra", "\u00e9t\u00e9", "J. Fox", "7,5", "mixt", "while", "\u4e2d\u6587", "and"]
+    size = lambda a, b: difflib.SequenceMatcher(None, a, b).find_longest_match(0, len(a), 0, len(b)).size
+    for n in range(1500):
+        letters = "abcdefghij"[: r.randint(1, 10)] if n % 2 else [w + " " for w in words]
+        a, b = ("".join(r.choices(letters, k=r.randint(1, 60))) * (1 + n % 3) for _ in "ab")
+        if n % 5 == 0:
+            b = "".join(map(chr, r.choices(range(97, 400), k=r.randint(190, 420))))
+            a += b[r.randint(0, 99) : r.randint(100, 190)]
+        assert scores.longest_match(a, b) == size(a, b), (a, b)
+    a, b = " ".join(r.choices(words[:10], k=4000)), " ".join(r.choices(words, k=40))[:199]
+    began = time.perf_counter()
+    want = size(a, b)
+    middle = time.perf_counter()
+    assert scores.longest_match(a, b) == want and time.perf_counter() - middle < (middle - began) / 3
+
+
 @pytest.mark.parametrize("h, r, x", [("a b b c", "b c d", 2 / 3), ("Paris 2019", "paris", 0), ("St. Mary", "Mary St", 1), ("x", "y z", 0), ("", "y", 100)])
 def test_rouge(spark, h, r, x):
     assert one(spark, scores.rouge1_recall(F.col("a"), F.col("b")), h, r) == pytest.approx(x)
