@@ -78,3 +78,24 @@ def test_sanitize_records_can_reach_every_value(spark, tmp_path, monkeypatch):
     assert got == {x for i in range(40) for x in ((str(i), "email_1", f"a{i}@x.com"), (str(i), "email_2", f"b{i}@y.org"), (str(i), "phone_1", f"+1 (555) 123-45{i:02d}"))}
     chosen = sanitize.choose(seen[0]).where("sanitization <> 'keep'")
     assert chosen.where("attr_type = 'email_1'").count() > 0 and chosen.where("attr_type = 'email_2'").count() > 0
+
+
+def test_sanitize_cuts_each_text_once(spark, monkeypatch):
+    import pytest
+
+    from loomtext.plans import sanitize
+
+    class Seen(Exception):
+        pass
+
+    plans = []
+
+    def first(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")))
+        raise Seen
+
+    monkeypatch.setattr(sanitize, "materialized", first)
+    docs = spark.createDataFrame([("a", "One. " * 300)], "record_id string, text string")
+    with pytest.raises(Seen):
+        sanitize.run(docs, docs, None)
+    assert plans == [("sequences", 1)]
